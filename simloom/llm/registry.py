@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import packing
+from simloom.llm import langid, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,21 @@ def packed(docs: DataFrame) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2,048 ids."""
     return packed(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def learnt(docs: DataFrame) -> dict[str, str]:
+    """Samples of the languages, from labelled rows that are not held out."""
+    return langid.sample(docs.where(~held_out("doc_id")))
+
+
+def held_out(doc_id: str):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learnt from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.identify(F.col("text"), learnt(docs))
+    out = docs.select("doc_id", held_out("doc_id").alias("held_out"), found.alias("found"))
+    return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
