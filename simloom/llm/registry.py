@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import langid, packing
+from simloom.llm import contentsort, langid, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(F.col("text"), learnt(docs))
     out = docs.select("doc_id", held_out("doc_id").alias("held_out"), found.alias("found"))
     return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+@query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the id of the row that stays of its equals."""
+    return contentsort.dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLES["op4_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[ \x09-\x0D]+', '', 'g') AS norm FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY size DESC, doc_id NULLS LAST) AS k, first_value(doc_id) OVER (PARTITION BY norm ORDER BY size DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+"""
