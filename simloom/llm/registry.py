@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import contentsort, langid, packing
+from simloom.llm import contentsort, langid, neardup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,9 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coa
 r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY size DESC, doc_id NULLS LAST) AS k, first_value(doc_id) OVER (PARTITION BY norm ORDER BY size DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document among those of similar five-word shingles."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
