@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import contentsort, langid, neardup, packing
+from simloom.llm import contentsort, langid, neardup, packing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,63 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(norm) AS text_sha256 F
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document among those of similar five-word shingles."""
     return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+RULES = (
+    urls.Rule(True, "com", "/"),
+    urls.Rule(False, "example.com", "/en/"),
+    urls.Rule(True, "www.example.com", "/en/"),
+    urls.Rule(False, "net", "/es/"),
+    urls.Rule(False, "net", "/fr/"),
+)
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url by the rules and by its aliases."""
+    return urls.judge(read(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
+
+
+def _sql_url(url: str) -> str:
+    """Rows ``host, path, node`` of an address, as DuckDB expressions over ``url``."""
+    rest = f"regexp_extract(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END, '^([^?#]*)', 1)"
+    return f"(SELECT translate(regexp_extract({rest}, '^([^/]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract({rest}, '^[^/]*(.*)$', 1) AS path)"
+
+
+_SQL_RULES = ", ".join(f"('{r.host}', '{r.path}', {str(r.allow).lower()})" for r in RULES)
+
+ORACLES["op3_url_filters"] = rf"""
+WITH RECURSIVE rules(h, p, allow) AS (VALUES {_SQL_RULES}),
+tags AS (
+  SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS c,
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS m
+  FROM pages WHERE contains(url, '://')
+),
+hrefs AS (
+  SELECT url, trim(regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)) AS href FROM tags
+  UNION ALL
+  SELECT url, trim(regexp_extract(m, '(?is)\burl\s*=\s*["'']?([^"''\s>;]*)', 1)) FROM tags
+),
+links AS (
+  SELECT url AS src, CASE WHEN contains(href, '://') THEN href
+    WHEN href LIKE '//%' THEN regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || href
+    WHEN href LIKE '/%' THEN regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) || href
+    ELSE regexp_replace(regexp_extract(url, '^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)', 1) || '/', '//$', '/') || href END AS dst
+  FROM hrefs WHERE href <> ''
+),
+pairs AS (
+  SELECT s.host || s.path AS a, d.host || d.path AS b FROM links, LATERAL {_sql_url("src")} s, LATERAL {_sql_url("dst")} d
+),
+edges AS (SELECT a, b FROM pairs WHERE a <> '' AND b <> '' UNION SELECT b, a FROM pairs WHERE a <> '' AND b <> ''),
+reach(node, other) AS (SELECT a, a FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+named AS (SELECT page_id, u.host, u.path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages) q, LATERAL {_sql_url("url")} u),
+own AS (
+  SELECT *, (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR suffix(host, '.' || h)) AND prefix(path, p)) AS rule FROM named
+),
+decided AS (
+  SELECT reach.node, bool_or((SELECT arg_max(allow, length(h || p)) FROM rules WHERE (split_part(other, '/', 1) = h OR suffix(split_part(other, '/', 1), '.' || h)) AND prefix(substr(other, length(split_part(other, '/', 1)) + 1), p))) AS allowed
+  FROM reach GROUP BY reach.node
+)
+SELECT page_id, host, path, rule, CASE WHEN coalesce((SELECT allow FROM rules WHERE h || p = rule), allowed, true) THEN 'allow' ELSE 'block' END AS verdict
+FROM own LEFT JOIN decided ON node = host || path
+"""
