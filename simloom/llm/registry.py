@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import contentsort, langid, neardup, packing, urls
+from simloom.llm import contentsort, langid, neardup, packing, urls, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,9 @@ decided AS (
 SELECT page_id, host, path, rule, CASE WHEN coalesce((SELECT allow FROM rules WHERE h || p = rule), allowed, true) THEN 'allow' ELSE 'block' END AS verdict
 FROM own LEFT JOIN decided ON node = host || path
 """
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each embedding among those of a cosine of 0.95 or more."""
+    return vectordup.near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
