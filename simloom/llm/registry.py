@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import contentsort, langid, neardup, packing, urls, vectordup
+from simloom.llm import contentsort, langid, neardup, packing, secrets, urls, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,35 @@ FROM own LEFT JOIN decided ON node = host || path
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of each embedding among those of a cosine of 0.95 or more."""
     return vectordup.near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+BASE = ("assign", "access", "hex")
+
+
+@query
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document; the base kinds by count and digest, all of them as spans."""
+    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.listed(F.filter("spans", lambda s: s["kind"].isin(*BASE)))
+    return found.select("doc_id", *map(count, BASE), F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def _sql_spans(rule: secrets.Rule, order: int) -> str:
+    """Rows of a rule's matches: the parts before each and the matches, whose lengths add up to positions."""
+    p = rule.pattern.replace("'", "''")
+    kept = f"length(regexp_extract(m, '{p}', {rule.group})) >= {rule.least}"
+    return f"""SELECT row_id, '{rule.kind}' AS kind, {order} AS k, s, e FROM (
+  SELECT row_id, m, CAST(sum(length(g) + length(m)) OVER w - length(m) AS BIGINT) AS s, CAST(sum(length(g) + length(m)) OVER w AS BIGINT) AS e
+  FROM (SELECT row_id, unnest(regexp_split_to_array(t, '{p}')[:len(ms)]) AS g, unnest(ms) AS m, unnest(range(len(ms))) AS n FROM (SELECT row_id, t, regexp_extract_all(t, '{p}', 0) AS ms FROM d))
+  WINDOW w AS (PARTITION BY row_id ORDER BY n)) WHERE {kept}"""
+
+
+ORACLES["op5_secret_scans"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({" UNION ALL ".join(_sql_spans(r, k) for k, r in enumerate(secrets.RULES))}),
+y AS (SELECT row_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM x GROUP BY row_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN y USING (row_id)
+"""
