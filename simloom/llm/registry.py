@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import chat, contentsort, langid, neardup, packing, secrets, sharding, urls, vectordup
+from simloom.llm import chat, contentsort, langid, neardup, packing, pieces, secrets, sharding, urls, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +217,14 @@ s AS (SELECT depth, bits[:depth] AS shard, CAST(sum(doc_bytes) AS BIGINT) AS sha
 f AS (SELECT doc_id, doc_bytes, min(depth) AS depth, bits FROM d JOIN s ON s.shard = bits[:depth] WHERE shard_bytes <= {SHARD_BYTES} GROUP BY ALL)
 SELECT doc_id, doc_bytes, s.shard, s.shard_bytes FROM f JOIN s ON s.depth = f.depth AND s.shard = f.bits[:f.depth]
 """
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document under merge-dropout, by number and digest, and the digest of what they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    ids = docs.select("doc_id", "text", pieces.encoded(F.coalesce("text", F.lit("")), F.col("doc_id"), path).alias("ids"))
+    back = ids.withColumn("back", pieces.decoded(F.col("ids"), path))
+    lossless = F.col("back") == F.coalesce("text", F.lit(""))
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("back", 256).alias("decoded_sha256"), lossless.alias("lossless"))
