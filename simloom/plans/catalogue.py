@@ -1,6 +1,652 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries and their SQL oracles, one entry for each operator on tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from simloom.functions import text as T
+from simloom.operators import clustering, frequency, matching, normalization, report, results, tokens
+from simloom.plans import views as V
+from simloom.plans.views import K
+from simloom.sources.tables import table
+from simloom.tokenize import comments
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(ctes: str | None = None, body: str | None = None):
+    """Register a query under its function's name, with the oracle ``WITH ctes body`` if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if body is not None:
+            ORACLES[f.__name__] = V.sql(ctes, body) if ctes else body
+        return f
+
+    return add
+
+
+def big(c):
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# --- sources, filters, states -------------------------------------------------------------------------------
+
+
+@query(None, "SELECT doc_id AS sub, source AS root, CAST(length(text) AS BIGINT) AS chars FROM documents")
+def scan_documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("sub"), F.col("source").alias("root"), big(F.length("text")).alias("chars"))
+
+
+@query(None, "SELECT source || '/' || doc_id AS name, false AS is_base FROM documents UNION ALL SELECT 'base/' || item_id, true FROM benchmark")
+def union_sources_named(spark, sf):
+    docs = V.names(spark, sf).select("name", F.lit(False).alias("is_base"))
+    base = table(spark, sf, "benchmark", "item_id").select(F.concat(F.lit("base/"), F.col("item_id").cast("string")).alias("name"), F.lit(True).alias("is_base"))
+    return docs.unionByName(base)
+
+
+@query(None, "SELECT doc_id AS sub FROM documents WHERE source <> (SELECT min(source) FROM documents)")
+def basecode_excluded_submissions(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "source")
+    base = docs.agg(F.min("source").alias("source"))
+    return docs.join(F.broadcast(base), "source", "left_anti").select(F.col("doc_id").alias("sub"))  # one row
+
+
+@query(None, r"SELECT page_id, url FROM pages WHERE suffix(lower(url), '.html') OR suffix(lower(url), '#top')")
+def suffix_filter(spark, sf):
+    return table(spark, sf, "pages", "page_id", "url").where(T.ends_with_any(F.col("url"), (".HTML", "#top"), True))
+
+
+@query(None, "SELECT page_id, url FROM pages WHERE NOT (suffix(url, '.html') OR suffix(url, '/'))")
+def exclusion_filter(spark, sf):
+    return table(spark, sf, "pages", "page_id", "url").where(~T.ends_with_any(F.col("url"), (".html", "/"), False))
+
+
+@query(V.WORDS, f"SELECT sub, CAST(CASE WHEN w IS NULL THEN 0 ELSE len(w) + 1 END AS BIGINT) AS n_tokens, CASE WHEN w IS NULL THEN 'NOTHING_TO_PARSE' WHEN len(w) + 1 < {K} THEN 'TOO_SMALL' ELSE 'VALID' END AS state FROM words")
+def submission_states(spark, sf):
+    return tokens.states(V.words(spark, sf), K)
+
+
+@query(V.VALID, "SELECT sub FROM valid")
+def valid_submissions(spark, sf):
+    return V.valid(spark, sf).select("sub")
+
+
+@query(V.WORDS, f"SELECT sub, CASE WHEN w IS NULL THEN 'NOTHING_TO_PARSE' ELSE 'TOO_SMALL' END AS state FROM words WHERE w IS NULL OR len(w) + 1 < {K}")
+def failed_submissions(spark, sf):
+    return tokens.states(V.words(spark, sf), K).where("state <> 'VALID'").select("sub", "state")
+
+
+@query(None, "SELECT source, 'both' AS side FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'de') UNION ALL SELECT source, 'new' FROM (SELECT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'de')")
+def set_ops_sources(spark, sf):
+    docs = table(spark, sf, "documents", "source", "lang")
+    new, old = (docs.where(F.col("lang") == x).select("source") for x in ("en", "de"))
+    return new.intersect(old).withColumn("side", F.lit("both")).unionByName(new.subtract(old).withColumn("side", F.lit("new")))
+
+
+# --- tokens ---------------------------------------------------------------------------------------------------
+
+
+@query(V.WORDS, "SELECT sub AS sub, 'f' || sub AS file, CAST(len(w) + 1 AS BIGINT) AS n_tokens FROM words")
+def tokens_per_file(spark, sf):
+    return V.words(spark, sf).select("sub", F.concat(F.lit("f"), F.col("sub").cast("string")).alias("file"), big(F.size("words") + 1).alias("n_tokens"))
+
+
+@query(None, r"SELECT lang, CAST(sum(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS BIGINT) AS n_tokens, count(*) AS n_files FROM documents GROUP BY lang")
+def tokens_by_lang(spark, sf):
+    docs = table(spark, sf, "documents", "lang", "text")
+    return docs.groupBy("lang").agg(big(F.sum(F.size(T.words(F.col("text"))))).alias("n_tokens"), F.count("*").alias("n_files"))
+
+
+@query(V.WORDS, "SELECT tok, count(*) AS n, row_number() OVER (ORDER BY encode(tok)) AS tok_id FROM (SELECT unnest(w) AS tok FROM words) GROUP BY tok")
+def token_dictionary(spark, sf):
+    return tokens.dictionary(V.words(spark, sf)).select("tok", "n", big("tok_id").alias("tok_id"))
+
+
+@query(V.GRAMS, "SELECT sub, count(*) AS n_grams, count(DISTINCT gram) AS n_distinct FROM grams GROUP BY sub")
+def token_kgrams(spark, sf):
+    return tokens.grams(V.valid(spark, sf), K).groupBy("sub").agg(F.count("*").alias("n_grams"), F.countDistinct("gram").alias("n_distinct"))
+
+
+@query(None, r"SELECT sub, string_agg(tok || ':' || n, ',' ORDER BY n DESC, encode(tok)) FILTER (k <= 5) AS top FROM (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY n DESC, encode(tok)) AS k FROM (SELECT sub, tok, count(*) AS n FROM (SELECT doc_id AS sub, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY sub, tok)) GROUP BY sub")
+def token_histogram_map(spark, sf):
+    counts = tokens.long_form(V.words(spark, sf)).groupBy("sub", "tok").agg(F.count("*").alias("n"))
+    lists = counts.groupBy("sub").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "tok"))).alias("all"))
+    # The map is the histogram; its five most frequent entries are what is shown.
+    whole = lists.select("sub", "all", F.map_from_entries(F.transform("all", lambda x: F.struct(x["tok"], -x["k"]))).alias("m"))
+    return whole.select("sub", F.array_join(F.transform(F.slice("all", 1, 5), lambda x: F.concat_ws(":", x["tok"], F.element_at("m", x["tok"]).cast("string"))), ",").alias("top"))
+
+
+BASE = rf"""{V.SIZES}, base AS (SELECT DISTINCT array_to_string(w[p + 1:p + 5], ' ') AS gram FROM (SELECT w, unnest(range(0, len(w) - 4)) AS p FROM (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark))),
+shared AS (SELECT sub, p FROM (SELECT sub, w, unnest(range(0, len(w) - 4)) AS p FROM valid) WHERE array_to_string(w[p + 1:p + 5], ' ') IN (SELECT gram FROM base)),
+isl AS (SELECT sub, p, sum(new) OVER (PARTITION BY sub ORDER BY p) AS g FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY sub ORDER BY p) + 5 THEN 0 ELSE 1 END AS new FROM shared)),
+marked AS (SELECT sub, min(p) AS s, max(p) + 5 AS e FROM isl GROUP BY sub, g)"""
+BASE_K = 5
+
+
+@query(BASE, "SELECT * FROM marked")
+def basecode_marking(spark, sf):
+    out = tokens.base_marking(V.valid(spark, sf), V.base_words(spark, sf), BASE_K)
+    return out.select("sub", big("s").alias("s"), big("e").alias("e"))
+
+
+@query(BASE, "SELECT sizes.sub, n_tokens, CAST(coalesce(sum(e - s), 0) + 1 AS BIGINT) AS n_excluded FROM sizes LEFT JOIN marked USING (sub) GROUP BY ALL")
+def token_exclusion_mask(spark, sf):
+    return tokens.exclusion_mask(V.valid(spark, sf), tokens.base_marking(V.valid(spark, sf), V.base_words(spark, sf), BASE_K))
+
+
+@query(BASE, "SELECT sizes.sub, CAST(divisor - coalesce(sum(e - s), 0) AS BIGINT) AS divisor FROM sizes LEFT JOIN marked USING (sub) GROUP BY sizes.sub, divisor")
+def similarity_divisor(spark, sf):
+    mask = token_exclusion_mask(spark, sf)
+    return mask.select("sub", (F.col("n_tokens") - F.col("n_excluded")).alias("divisor"))
+
+
+STATEMENTS = r"SELECT doc_id AS sub, CAST(line AS INTEGER) AS line, CAST(len(w) AS BIGINT) AS n_tokens, w[1] AS first FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, regexp_extract_all(lower(unnest(l)), '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE len(w) > 0"
+
+
+@query(None, STATEMENTS)
+def statements_by_line(spark, sf):
+    return V.statements(spark, sf)
+
+
+@query(None, "SELECT page_id, count(*) AS n_comments, CAST(sum(length(c) - 7) AS BIGINT) AS chars FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->')) AS c FROM pages) GROUP BY page_id")
+def comment_extraction(spark, sf):
+    found = comments.extract(table(spark, sf, "pages", "page_id", "html"), "page_id", "html", comments.HTML)
+    return found.groupBy("page_id").agg(F.count("*").alias("n_comments"), big(F.sum(F.length("content"))).alias("chars"))
+
+
+# --- joins and matching ---------------------------------------------------------------------------------------
+
+
+@query(V.VALID, "SELECT CAST(count(*) AS BIGINT) AS n_valid, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_pairs, (SELECT count(*) FROM valid x JOIN documents d ON d.doc_id = x.sub WHERE d.lang = 'en') AS n_new, CAST(count(*) * (count(*) - 1) / 2 - (SELECT count(*) * (count(*) - 1) / 2 FROM valid x JOIN documents d ON d.doc_id = x.sub WHERE d.lang <> 'en') AS BIGINT) AS n_new_pairs FROM valid")
+def pair_universe(spark, sf):
+    """Pairs to compare, of which at least one is new; counted, not formed."""
+    lang = table(spark, sf, "documents", F.col("doc_id").alias("sub"), "lang")
+    rows = V.valid(spark, sf).select("sub").join(lang, "sub").agg(F.count("*").alias("n"), F.count(F.when(F.col("lang") == "en", 1)).alias("new"))
+    two = lambda c: c * (c - 1) / 2
+    n, old = F.col("n"), F.col("n") - F.col("new")
+    return rows.select(n.alias("n_valid"), big(two(n)).alias("n_pairs"), F.col("new").alias("n_new"), big(two(n) - two(old)).alias("n_new_pairs"))
+
+
+@query(V.GRAMS, "SELECT a, b, count(*) AS n_grams FROM (SELECT DISTINCT x.sub AS a, y.sub AS b, gram FROM grams x JOIN grams y USING (gram) WHERE x.sub < y.sub) GROUP BY a, b")
+def shared_gram_pairs(spark, sf):
+    g = tokens.grams(V.valid(spark, sf), K).select("sub", "gram").distinct()
+    pairs = g.alias("x").join(g.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sub") < F.col("y.sub")))
+    return pairs.groupBy(F.col("x.sub").alias("a"), F.col("y.sub").alias("b")).agg(F.count("*").alias("n_grams"))
+
+
+@query(V.RUNS, "SELECT a, b, s1, s2, len FROM runs")
+def maximal_common_runs(spark, sf):
+    return V.runs(spark, sf).select("a", "b", *(big(c).alias(c) for c in ("s1", "s2", "len")))
+
+
+@query(V.TILES, "SELECT a, b, s1, s2, len FROM tiles")
+def greedy_tiles(spark, sf):
+    return V.tiles(spark, sf).select("a", "b", *(big(c).alias(c) for c in ("s1", "s2", "len")))
+
+
+@query(V.RUNS, "SELECT x.a, x.b, count(*) AS n FROM runs x JOIN runs y ON x.a = y.a AND x.b = y.b AND (x.s1, x.s2) < (y.s1, y.s2) AND ((x.s1 < y.s1 + y.len AND y.s1 < x.s1 + x.len) OR (x.s2 < y.s2 + y.len AND y.s2 < x.s2 + x.len)) GROUP BY ALL")
+def overlapping_runs(spark, sf):
+    r = V.runs(spark, sf)
+    over = "((x.s1 < y.s1 + y.len and y.s1 < x.s1 + x.len) or (x.s2 < y.s2 + y.len and y.s2 < x.s2 + x.len))"
+    pairs = r.alias("x").join(r.alias("y"), F.expr(f"x.a = y.a and x.b = y.b and (x.s1 < y.s1 or (x.s1 = y.s1 and x.s2 < y.s2)) and {over}"))
+    return pairs.groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+
+
+@query(V.TILES, "SELECT a, b, s1, s2, len FROM tiles WHERE len >= 40")
+def long_matches(spark, sf):
+    return greedy_tiles(spark, sf).where("len >= 40")
+
+
+NEIGHBORS = f"""{V.TILES}, nb AS (
+  SELECT *, lead(s1) OVER l - s1 - len AS gap1, lead(s2) OVER l - s2 - len AS gap2, lead(r2) OVER l = r2 + 1 AS adjacent
+  FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY s1, s2) AS r1, row_number() OVER (PARTITION BY a, b ORDER BY s2, s1) AS r2 FROM tiles)
+  WINDOW l AS (PARTITION BY a, b ORDER BY s1, s2))"""
+
+
+@query(NEIGHBORS, "SELECT a, b, s1, s2, gap1, gap2, adjacent FROM nb WHERE gap1 IS NOT NULL")
+def match_neighbors(spark, sf):
+    n = matching.neighbors(V.tiles(spark, sf)).where("gap1 is not null")
+    return n.select("a", "b", *(big(c).alias(c) for c in ("s1", "s2", "gap1", "gap2")), "adjacent")
+
+
+MERGE_GAP, MERGE_NEEDED = 20, 2
+MERGED = f"""{NEIGHBORS}, ln AS (SELECT *, coalesce(adjacent AND (gap1 + gap2) / 2 <= {MERGE_GAP}, false) AS link FROM nb),
+isl AS (SELECT *, sum(CASE WHEN prev THEN 0 ELSE 1 END) OVER (PARTITION BY a, b ORDER BY r1) AS g, sum(CASE WHEN link THEN 1 ELSE 0 END) OVER (PARTITION BY a, b) AS m FROM (SELECT *, coalesce(lag(link) OVER (PARTITION BY a, b ORDER BY r1), false) AS prev FROM ln)),
+mg AS (SELECT a, b, min(s1) AS s1, min(s2) AS s2, max(s1 + len) - min(s1) AS l1, max(s2 + len) - min(s2) AS l2, CAST(CASE WHEN m >= {MERGE_NEEDED} THEN m ELSE 0 END AS BIGINT) AS merges FROM isl GROUP BY a, b, m, CASE WHEN m >= {MERGE_NEEDED} THEN g ELSE r1 END)"""
+
+
+@query(MERGED, f"SELECT * FROM mg WHERE least(l1, l2) >= {K}")
+def merged_matches(spark, sf):
+    out = matching.merged(V.tiles(spark, sf), K, MERGE_GAP, MERGE_NEEDED)
+    return out.select("a", "b", *(big(c).alias(c) for c in ("s1", "s2", "l1", "l2", "merges")))
+
+
+@query(V.CMP, "SELECT * FROM cmp")
+def pair_metrics(spark, sf):
+    return V.comparisons(spark, sf)
+
+
+@query(V.CMP, "SELECT CASE WHEN (x.n_tokens, a) <= (y.n_tokens, b) THEN a ELSE b END AS smaller, CASE WHEN (x.n_tokens, a) <= (y.n_tokens, b) THEN b ELSE a END AS larger FROM cmp JOIN sizes x ON x.sub = a JOIN sizes y ON y.sub = b")
+def ordered_pairs(spark, sf):
+    n = V.sizes(spark, sf).select("sub", "n_tokens")
+    pairs = V.tiles(spark, sf).select("a", "b").distinct()
+    side = lambda c: n.select(F.col("sub").alias(c), F.struct("n_tokens", F.col("sub").alias("s")).alias(f"k{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select(F.least("ka", "kb")["s"].alias("smaller"), F.greatest("ka", "kb")["s"].alias("larger"))
+
+
+@query(V.CMP, "SELECT a, b, avg_sim FROM cmp WHERE avg_sim >= 0.3")
+def threshold_filter(spark, sf):
+    return V.comparisons(spark, sf).where("avg_sim >= 0.3").select("a", "b", "avg_sim")
+
+
+# --- rankings and distributions -----------------------------------------------------------------------------------
+
+
+@query(V.CMP, "SELECT a, b, avg_sim, max_sim, longest, max_len FROM cmp ORDER BY avg_sim DESC, a, b LIMIT 100")
+def top_comparisons(spark, sf):
+    return results.top(V.comparisons(spark, sf), "avg_sim", 100).select("a", "b", *results.METRICS)
+
+
+HIST = f"{V.CMP}, hist AS (SELECT CAST(r.bucket AS INTEGER) AS bucket, CAST(count(c.a) + CASE WHEN r.bucket = 0 THEN (SELECT count(*) * (count(*) - 1) / 2 FROM valid) - (SELECT count(*) FROM cmp) ELSE 0 END AS BIGINT) AS n FROM range(100) r(bucket) LEFT JOIN (SELECT a, least(floor(avg_sim * 100), 99) AS k FROM cmp) c ON c.k = r.bucket GROUP BY r.bucket)"
+
+
+@query(HIST, "SELECT * FROM hist")
+def similarity_distribution(spark, sf):
+    return results.distribution(V.comparisons(spark, sf), "avg_sim", V.universe(spark, sf))
+
+
+@query(HIST, "SELECT CAST(floor((99 - bucket) / 10) AS INTEGER) AS bucket, CAST(sum(n) AS BIGINT) AS n FROM hist GROUP BY 1")
+def distribution_rebucketed(spark, sf):
+    return results.rebucketed(similarity_distribution(spark, sf), 10)
+
+
+NONZERO = f"{V.CMP}, hist AS (SELECT CAST(r.bucket AS INTEGER) AS bucket, count(c.a) AS n FROM range(100) r(bucket) LEFT JOIN (SELECT a, least(floor(avg_sim * 100), 99) AS k FROM cmp) c ON c.k = r.bucket GROUP BY r.bucket)"
+BOX = f"""{NONZERO}, cum AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS cum, sum(n) OVER () AS total FROM hist),
+q AS (SELECT min(bucket + 1) FILTER (cum >= total * 0.25) AS q1, min(bucket + 1) FILTER (cum >= total * 0.5) AS median, min(bucket + 1) FILTER (cum >= total * 0.75) AS q3, min(bucket) FILTER (n > 0) AS least, max(bucket) FILTER (n > 0) AS most, round(CAST(sum(n * bucket) AS DOUBLE) / any_value(total), 6) AS mean FROM cum),
+f AS (SELECT q1, median, q3, CAST(greatest(least, q1 - 1.5 * (q3 - q1)) AS DOUBLE) AS low, CAST(least(most, q3 + 1.5 * (q3 - q1)) AS DOUBLE) AS high, mean FROM q)"""
+
+
+@query(BOX, "SELECT f.*, (SELECT count(*) FROM hist WHERE n > 0 AND (bucket < low OR bucket > high)) AS n_outliers FROM f")
+def distribution_boxplot(spark, sf):
+    return results.boxplot(results.distribution(V.comparisons(spark, sf), "avg_sim"))
+
+
+@query(V.CMP, "SELECT a, b, avg_sim, max_sim, longest, max_len, row_number() OVER (ORDER BY max_sim DESC, avg_sim DESC, longest DESC, max_len DESC, a, b) AS place FROM cmp")
+def sorted_by_metric(spark, sf):
+    return results.sorted_by(V.comparisons(spark, sf).select("a", "b", *results.METRICS), "max_sim").withColumn("place", big("place"))
+
+
+PLACED = f"{V.NAMED}, placed AS (SELECT *, row_number() OVER (ORDER BY avg_sim DESC, max_sim DESC, longest DESC, max_len DESC, a, b) AS place FROM named)"
+
+
+@query(PLACED, "SELECT a, b, place, row_number() OVER (ORDER BY place) AS shown_as FROM placed WHERE contains(lower(name_a), 'src7/') OR contains(lower(name_b), 'src7/') OR longest > 200 OR place = 17 OR max_sim * 100 >= 95")
+def search_comparisons(spark, sf):
+    rows = V.named(spark, sf, V.comparisons(spark, sf))
+    return results.search(rows, "SRC7/ long:>200 index:17 max:>=95%").select("a", "b", big("place").alias("place"), big("shown_as").alias("shown_as"))
+
+
+@query(V.CMP, "SELECT max(avg_sim) FILTER (avg_sim <= 0.5) AS value, count(*) FILTER (avg_sim > (SELECT max(avg_sim) FROM cmp WHERE avg_sim <= 0.5)) AS n_greater FROM cmp")
+def rank_of_bucket(spark, sf):
+    return results.rank_of_bound(V.comparisons(spark, sf), "avg_sim", 0.5)
+
+
+@query(V.CMP, "SELECT (SELECT count(*) FROM documents) AS n_submissions, (SELECT count(*) FROM valid) AS n_valid, (SELECT count(*) FROM cmp) AS n_comparisons, CAST((SELECT count(*) * (count(*) - 1) / 2 FROM valid) - (SELECT count(*) FROM cmp) AS BIGINT) AS n_missing")
+def run_counts(spark, sf):
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = one(V.words(spark, sf), "n_submissions").crossJoin(one(V.valid(spark, sf), "n_valid")).crossJoin(one(V.tiles(spark, sf).select("a", "b").distinct(), "n_comparisons"))  # one row each
+    return parts.withColumn("n_missing", big(F.col("n_valid") * (F.col("n_valid") - 1) / 2 - F.col("n_comparisons")))
+
+
+# --- frequency -----------------------------------------------------------------------------------------------------
+
+
+SEQ = f"{V.TILES}, ms AS (SELECT t.a, t.b, t.len, w[s1 + 1:s1 + t.len] AS seq FROM tiles t JOIN valid ON sub = a)"
+_DIGEST = "md5(array_to_string(seq, ' '))"
+
+
+def _digested(spark, sf, weights: DataFrame) -> DataFrame:
+    """Weights with a digest of each sequence's words, which both engines can show."""
+    coded = V.valid(spark, sf).select(F.col("sub").alias("a"), "words")
+    rows = V.sequences_of_matches(spark, sf).join(coded, "a").select("seq", F.md5(F.array_join(F.slice("words", F.col("s1") + 1, F.col("l1")), " ").cast("binary")).alias("seq_md5")).distinct()
+    return rows.join(weights, "seq").select("seq_md5", F.round("weight", 6).alias("weight"))
+
+
+@query(SEQ, f"SELECT {_DIGEST} AS seq_md5, CAST(count(*) AS DOUBLE) AS weight FROM ms GROUP BY seq")
+def frequency_complete(spark, sf):
+    return _digested(spark, sf, frequency.complete(V.sequences_of_matches(spark, sf), K))
+
+
+SEQS = f"""{SEQ}, sq AS (SELECT row_number() OVER () AS sub, seq, n FROM (SELECT seq, count(*) AS n FROM ms GROUP BY seq)),
+sg AS (SELECT sub, seq, n, pos, array_to_string(seq[pos + 1:pos + {K}], ' ') AS gram FROM (SELECT *, unnest(range(0, len(seq) - {K - 1})) AS pos FROM sq))"""
+
+
+@query(SEQS, f"""SELECT {_DIGEST} AS seq_md5, round(coalesce(avg(h.n), 0.0), 6) AS weight FROM sq LEFT JOIN (SELECT x.sub, y.n FROM sg x JOIN (SELECT * FROM sg WHERE pos = 0) y ON x.gram = y.gram AND x.seq[x.pos + 1:x.pos + len(y.seq)] = y.seq) h ON h.sub = sq.sub GROUP BY seq""")
+def frequency_contained(spark, sf):
+    return _digested(spark, sf, frequency.contained(V.sequences_of_matches(spark, sf), K))
+
+
+@query(SEQS, f"""SELECT {_DIGEST} AS seq_md5, round((sum(m * (r - {K - 1}) * (r - {K - 2}) / 2)) / ((len(seq) - {K - 1}) * (len(seq) - {K - 2}) / 2), 6) AS weight
+FROM (SELECT sub, other, any_value(m) AS m, count(*) + {K - 1} AS r FROM (SELECT x.sub, y.sub AS other, y.n AS m, x.pos - y.pos AS d, x.pos - row_number() OVER (PARTITION BY x.sub, y.sub, x.pos - y.pos ORDER BY x.pos) AS g FROM sg x JOIN sg y USING (gram)) GROUP BY sub, other, d, g) JOIN sq USING (sub) GROUP BY seq""")
+def frequency_submatches(spark, sf):
+    return _digested(spark, sf, frequency.submatches(V.sequences_of_matches(spark, sf), K))
+
+
+@query(SEQS, f"SELECT {_DIGEST} AS seq_md5, round(avg(c.n), 6) AS weight FROM sg JOIN (SELECT gram, sum(n) AS n FROM sg GROUP BY gram) c USING (gram) GROUP BY seq")
+def frequency_windows(spark, sf):
+    return _digested(spark, sf, frequency.windows(V.sequences_of_matches(spark, sf), K))
+
+
+@query(SEQ, f"SELECT a, b, len, {_DIGEST} AS seq_md5, n FROM ms JOIN (SELECT seq, count(*) AS n FROM ms GROUP BY seq) USING (seq)")
+def match_frequency(spark, sf):
+    coded = V.valid(spark, sf).select(F.col("sub").alias("a"), "words")
+    m = V.sequences_of_matches(spark, sf)
+    n = frequency.complete(m, K).select("seq", big("weight").alias("n"))
+    rows = m.join(coded, "a").select("a", "b", big("l1").alias("len"), F.md5(F.array_join(F.slice("words", F.col("s1") + 1, F.col("l1")), " ").cast("binary")).alias("seq_md5"), "seq")
+    return rows.join(n, "seq").drop("seq")
+
+
+_SIG = "(1 / (1 + exp(-10 * ({x} - 0.5))))"
+_SIGMOID = f"1 + ({_SIG.format(x='r')} - {_SIG.format(x='0')}) / ({_SIG.format(x='1')} - {_SIG.format(x='0')})"
+
+
+@query(SEQ, f"""SELECT m.a, m.b, round(sum(2 * m.len * (0.75 + 0.25 * ({_SIGMOID}))) / (any_value(x.divisor) + any_value(y.divisor)), 6) AS weighted_sim
+FROM (SELECT *, 1 - least(n / max(n) OVER (), 1) AS r FROM ms JOIN (SELECT seq, count(*) AS n FROM ms GROUP BY seq) USING (seq)) m JOIN sizes x ON x.sub = m.a JOIN sizes y ON y.sub = m.b GROUP BY m.a, m.b""")
+def frequency_weighted_similarity(spark, sf):
+    m = V.sequences_of_matches(spark, sf)
+    return frequency.weighted_similarity(m, frequency.complete(m, K), V.sizes(spark, sf), "sigmoid", 0.25)
+
+
+@query(None, f"SELECT CAST(i AS INTEGER) AS percent, round(1 + r, 6) AS linear, round(2 * r, 6) AS proportional, round(1 + r * r, 6) AS quadratic, round({_SIGMOID}, 6) AS sigmoid FROM (SELECT i, i / 100 AS r FROM range(101) t(i))")
+def weighting_functions(spark, sf):
+    rows = spark.range(101).select(F.col("id").cast("int").alias("percent"), (F.col("id") / 100).alias("r"))
+    return rows.select("percent", *(F.round(f(F.col("r")), 6).alias(n) for n, f in frequency.WEIGHTINGS.items()))
+
+
+# --- clusters ------------------------------------------------------------------------------------------------------
+
+
+@query(V.CMP, "SELECT a AS i, b AS j, avg_sim AS w FROM cmp")
+def similarity_edges(spark, sf):
+    return V.edges(spark, sf)
+
+
+@query(V.CMP, "SELECT a AS i, b AS j, avg_sim AS w FROM cmp WHERE avg_sim >= 0.2")
+def preprocess_threshold(spark, sf):
+    return clustering.by_threshold(V.edges(spark, sf), 0.2)
+
+
+@query(V.CMP, "SELECT a AS i, b AS j, avg_sim AS w FROM cmp WHERE avg_sim >= (SELECT (max(avg_sim) FILTER (k = greatest(1, ceil(n * 0.75))) + max(avg_sim) FILTER (k = least(n, floor(n * 0.75 + 1)))) / 2 FROM (SELECT avg_sim, row_number() OVER (ORDER BY avg_sim) AS k, count(*) OVER () AS n FROM cmp))")
+def preprocess_percentile(spark, sf):
+    return clustering.by_percentile(V.edges(spark, sf), 75.0)
+
+
+@query(V.CMP, "SELECT a AS i, b AS j, round(avg_sim * cume_dist() OVER (ORDER BY avg_sim), 6) AS w FROM cmp")
+def cdf_weighted_similarity(spark, sf):
+    return clustering.by_cumulative(V.edges(spark, sf)).select("i", "j", F.round("w", 6).alias("w"))
+
+
+@query(V.CMP, "SELECT DISTINCT node FROM (SELECT a AS node FROM cmp WHERE avg_sim > 0 UNION ALL SELECT b FROM cmp WHERE avg_sim > 0)")
+def connected_submissions(spark, sf):
+    return clustering.connected(V.edges(spark, sf))
+
+
+@query(V.MEMBERS, "SELECT member AS node, cluster_id AS component FROM members")
+def components_single_linkage(spark, sf):
+    return clustering.single_linkage(V.edges(spark, sf), V.EDGE)
+
+
+QUALITY = f"""{V.MEMBERS}, both_ways AS (SELECT a AS i, b AS j, avg_sim AS w FROM cmp UNION ALL SELECT b, a, avg_sim FROM cmp),
+q AS (SELECT x.cluster_id, sum(w) AS of_row, coalesce(sum(w) FILTER (y.cluster_id = x.cluster_id), 0) AS inside FROM both_ways JOIN members x ON x.member = i LEFT JOIN members y ON y.member = j GROUP BY x.cluster_id),
+facts AS (SELECT cluster_id, size, round(inside / total - (of_row / total) ** 2, 6) AS strength, round(inside / (size * (size - 1)), 6) AS avg_similarity FROM q JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY cluster_id) USING (cluster_id), (SELECT sum(w) AS total FROM both_ways))"""
+
+
+def _quality(spark, sf):
+    return clustering.quality(V.edges(spark, sf), V.members(spark, sf))
+
+
+@query(QUALITY, "SELECT cluster_id, strength FROM facts")
+def cluster_strength(spark, sf):
+    return _quality(spark, sf).select("cluster_id", "strength")
+
+
+@query(QUALITY, "SELECT cluster_id, size, avg_similarity FROM facts")
+def cluster_avg_similarity(spark, sf):
+    return _quality(spark, sf).select("cluster_id", "size", "avg_similarity")
+
+
+@query(QUALITY, "SELECT cluster_id FROM facts WHERE size >= 2 AND strength >= 0")
+def good_clusters(spark, sf):
+    return _quality(spark, sf).where("size >= 2 and strength >= 0").select("cluster_id")
+
+
+def _sides(spark, sf, how="left"):
+    m = V.members(spark, sf)
+    left, right = (m.select(F.col("member").alias(s), F.col("cluster_id").alias(f"c{s}")) for s in ("a", "b"))
+    return V.comparisons(spark, sf).select("a", "b", "avg_sim").join(left, "a", how).join(right, "b", how)
+
+
+@query(V.MEMBERS, "SELECT x.cluster_id, a, b FROM cmp JOIN members x ON x.member = a JOIN members y ON y.member = b WHERE x.cluster_id = y.cluster_id")
+def cluster_internal_pairs(spark, sf):
+    return _sides(spark, sf, "inner").where("ca = cb").select(F.col("ca").alias("cluster_id"), "a", "b")
+
+
+@query(V.MEMBERS, "SELECT a, b, x.cluster_id AS cluster_a, y.cluster_id AS cluster_b FROM cmp LEFT JOIN members x ON x.member = a LEFT JOIN members y ON y.member = b WHERE x.cluster_id IS DISTINCT FROM y.cluster_id")
+def cluster_related_pairs(spark, sf):
+    return _sides(spark, sf).where("not (ca <=> cb)").select("a", "b", F.col("ca").alias("cluster_a"), F.col("cb").alias("cluster_b"))
+
+
+@query(V.MEMBERS, "SELECT a, b, CASE WHEN x.cluster_id = y.cluster_id AND n > 2 THEN x.cluster_id END AS cluster_id FROM cmp LEFT JOIN members x ON x.member = a LEFT JOIN members y ON y.member = b LEFT JOIN (SELECT cluster_id, count(*) AS n FROM members GROUP BY cluster_id) s ON s.cluster_id = x.cluster_id")
+def comparison_cluster(spark, sf):
+    large = V.members(spark, sf).groupBy(F.col("cluster_id").alias("ca")).agg(F.count("*").alias("n"))
+    rows = _sides(spark, sf).join(large, "ca", "left")
+    return rows.select("a", "b", F.when((F.col("ca") == F.col("cb")) & (F.col("n") > 2), F.col("ca")).alias("cluster_id"))
+
+
+@query(V.MEMBERS, "SELECT cluster_id, member, n_pairs, n_pairs >= 3 AND n_members >= 3 AS radar FROM (SELECT x.cluster_id, x.member, count(*) AS n_pairs FROM (SELECT a, b FROM cmp UNION ALL SELECT b, a FROM cmp) p JOIN members x ON x.member = p.a JOIN members y ON y.member = p.b AND y.cluster_id = x.cluster_id GROUP BY ALL) JOIN (SELECT cluster_id, count(*) AS n_members FROM members GROUP BY cluster_id) USING (cluster_id)")
+def cluster_member_list(spark, sf):
+    inside = cluster_internal_pairs(spark, sf)
+    both = inside.select("cluster_id", F.col("a").alias("member")).unionByName(inside.select("cluster_id", F.col("b").alias("member")))
+    n = both.groupBy("cluster_id", "member").agg(F.count("*").alias("n_pairs"))
+    size = V.members(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n_members"))
+    return n.join(size, "cluster_id").select("cluster_id", "member", "n_pairs", ((F.col("n_pairs") >= 3) & (F.col("n_members") >= 3)).alias("radar"))
+
+
+@query()
+def clusters_agglomerative(spark, sf):
+    return clustering.clusters(clustering.by_threshold(V.edges(spark, sf), V.EDGE), "agglomerative", V.EDGE)
+
+
+@query()
+def clusters_spectral(spark, sf):
+    return clustering.clusters(clustering.by_cumulative(clustering.by_threshold(V.edges(spark, sf), V.EDGE)), "spectral")
+
+
+# --- normalisation -------------------------------------------------------------------------------------------------
+
+
+@query()
+def dependency_edges(spark, sf):
+    return normalization.edges(normalization.from_statements(V.statements(spark, sf)))
+
+
+@query()
+def normalized_tokens(spark, sf):
+    return normalization.normalized(normalization.from_statements(V.statements(spark, sf)))
+
+
+# --- reports -------------------------------------------------------------------------------------------------------
+
+
+@query(V.NAMED, "SELECT a, b, CASE WHEN k = 1 THEN f || '.json' ELSE f || '_' || k || '.json' END AS file FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY a, b) AS k FROM (SELECT a, b, split_part(name_a, '/', 1) || '-' || split_part(name_b, '/', 1) AS f FROM named))")
+def report_comparison_filenames(spark, sf):
+    rows = V.named(spark, sf, V.comparisons(spark, sf).select("a", "b"))
+    return results.file_names(rows.select("a", "b", *(F.substring_index(c, "/", 1).alias(c) for c in ("name_a", "name_b"))))
+
+
+LINES = f"{V.TILES}, ln AS (SELECT sub, line, sum(n_tokens) OVER (PARTITION BY sub ORDER BY line) - n_tokens AS from_, sum(n_tokens) OVER (PARTITION BY sub ORDER BY line) AS to_ FROM ({STATEMENTS}))"
+
+
+@query(LINES, "SELECT a, b, s1, s2, len, min(x.line) AS line1, max(x.line) AS end1 FROM tiles JOIN ln x ON x.sub = a AND x.from_ < s1 + len AND s1 < x.to_ GROUP BY a, b, s1, s2, len")
+def match_positions(spark, sf):
+    out = report.line_ranges(V.tiles(spark, sf), V.statements(spark, sf))
+    return out.select("a", "b", *(big(c).alias(c) for c in ("s1", "s2", "len")), F.col("first_line").alias("line1"), F.col("last_line").alias("end1"))
+
+
+@query(LINES, "SELECT a AS sub, x.line, count(*) AS n_matches FROM tiles JOIN ln x ON x.sub = a AND x.from_ < s1 + len AND s1 < x.to_ GROUP BY a, x.line")
+def matches_per_line(spark, sf):
+    out = report.line_ranges(V.tiles(spark, sf), V.statements(spark, sf))
+    lines = V.statements(spark, sf).select(F.col("sub").alias("a"), "line")
+    each = out.select("a", F.explode(F.sequence("first_line", "last_line")).alias("line"))
+    return each.join(lines, ["a", "line"]).groupBy(F.col("a").alias("sub"), "line").agg(F.count("*").alias("n_matches"))
+
+
+@query(None, r"SELECT page_id, translate(regexp_replace(url, '^[a-z]+://', ''), '/\', '__') AS id FROM pages")
+def sanitize_ids(spark, sf):
+    return table(spark, sf, "pages", "page_id", "url").select("page_id", T.sanitized(F.regexp_replace("url", "^[a-z]+://", "")).alias("id"))
+
+
+@query(V.CMP, "SELECT sub, string_agg(other, ',' ORDER BY other) AS others FROM (SELECT a AS sub, b AS other FROM cmp UNION ALL SELECT b, a FROM cmp) GROUP BY sub")
+def symmetric_pair_lookup(spark, sf):
+    p = V.tiles(spark, sf).select("a", "b").distinct()
+    both = p.select(F.col("a").alias("sub"), F.col("b").alias("other")).unionByName(p.select(F.col("b").alias("sub"), F.col("a").alias("other")))
+    return both.groupBy("sub").agg(F.array_join(F.array_sort(F.collect_list("other")).cast("array<string>"), ",").alias("others"))
+
+
+@query(V.NAMED, "SELECT name_a || ',' || name_b || ',' || printf('%.6f', avg_sim) || ',' || printf('%.6f', max_sim) AS line FROM named")
+def csv_export_rows(spark, sf):
+    return results.csv_rows(V.named(spark, sf, V.comparisons(spark, sf)))
+
+
+ANON = f"{V.CMP}, placed AS (SELECT *, row_number() OVER (ORDER BY avg_sim DESC, max_sim DESC, longest DESC, max_len DESC, a, b) AS place FROM cmp), anon AS (SELECT sub, row_number() OVER (ORDER BY min(k)) - 1 AS anon FROM (SELECT a AS sub, 2 * place AS k FROM placed UNION ALL SELECT b, 2 * place + 1 FROM placed) GROUP BY sub)"
+
+
+@query(ANON, "SELECT x.anon AS first, y.anon AS second, avg_sim, max_sim FROM cmp JOIN anon x ON x.sub = a JOIN anon y ON y.sub = b")
+def csv_export_anonymous(spark, sf):
+    c = V.comparisons(spark, sf)
+    ids = results.anonymous_ids(c)
+    rows = c.join(ids.select(F.col("sub").alias("a"), F.col("anon").alias("first")), "a").join(ids.select(F.col("sub").alias("b"), F.col("anon").alias("second")), "b")
+    return rows.select("first", "second", "avg_sim", "max_sim")
+
+
+@query(ANON, "SELECT sub, 'anon' || anon AS name FROM anon")
+def anonymize_names(spark, sf):
+    return results.anonymous_ids(V.comparisons(spark, sf)).select("sub", F.concat(F.lit("anon"), F.col("anon").cast("string")).alias("name"))
+
+
+@query(V.CMP, "SELECT DISTINCT sub FROM (SELECT a AS sub FROM cmp UNION SELECT b FROM cmp)")
+def reported_submissions(spark, sf):
+    p = V.tiles(spark, sf)
+    return p.select(F.col("a").alias("sub")).union(p.select("b")).distinct()
+
+
+COVER = f"{V.TILES}, per AS (SELECT sub, other, CAST(sum(len) AS BIGINT) AS matched, count(*) AS n_matches, max(len) AS largest FROM (SELECT a AS sub, b AS other, len FROM tiles UNION ALL SELECT b, a, len FROM tiles) GROUP BY sub, other)"
+
+
+def _per_file(spark, sf):
+    t = V.tiles(spark, sf)
+    both = t.select(F.col("a").alias("sub"), F.col("b").alias("other"), "len").unionByName(t.select(F.col("b").alias("sub"), F.col("a").alias("other"), "len"))
+    return both.groupBy("sub", "other").agg(big(F.sum("len")).alias("matched"), F.count("*").alias("n_matches"), big(F.max("len")).alias("largest"))
+
+
+@query(COVER, "SELECT * FROM per")
+def matched_tokens_per_file(spark, sf):
+    return _per_file(spark, sf)
+
+
+@query(COVER, "SELECT per.sub, other, round(matched / divisor, 6) AS coverage, row_number() OVER (PARTITION BY other ORDER BY matched / divisor DESC, per.sub) AS place FROM per JOIN sizes ON sizes.sub = per.sub")
+def files_sorted_by_coverage(spark, sf):
+    rows = _per_file(spark, sf).join(V.sizes(spark, sf), "sub")
+    share = F.col("matched") / F.col("divisor")
+    return rows.select("sub", "other", F.round(share, 6).alias("coverage"), big(F.row_number().over(Window.partitionBy("other").orderBy(share.desc(), "sub"))).alias("place"))
+
+
+GOLD = f"{V.CMP}, g AS (SELECT cmp.*, coalesce(x.quality = 0 AND y.quality = 0, false) AS gold FROM cmp LEFT JOIN labels x ON x.doc_id = b LEFT JOIN labels y ON y.doc_id = a)"
+
+
+@query(GOLD, "SELECT count(*) FILTER (gold) AS n_gold, round(avg(max_sim) FILTER (gold), 6) AS gold_mean, round(avg(max_sim) FILTER (NOT gold), 6) AS other_mean FROM g")
+def gold_standard_split(spark, sf):
+    low = table(spark, sf, "labels", "doc_id", "quality").where("quality = 0").select("doc_id")
+    c = V.comparisons(spark, sf)
+    gold = c.select("a", "b").join(low.select(F.col("doc_id").alias("a")), "a").join(low.select(F.col("doc_id").alias("b")), "b")
+    return results.gold_split(c, gold.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+@query()
+def match_colors(spark, sf):
+    return report.colors(V.tiles(spark, sf))
+
+
+@query(V.NAMED, """SELECT a, b, '{"first":"' || name_a || '","second":"' || name_b || '","matched":' || matched || ',"longest":' || longest || '}' AS report FROM named""")
+def comparison_json(spark, sf):
+    rows = V.named(spark, sf, V.comparisons(spark, sf))
+    return rows.select("a", "b", F.to_json(F.struct(F.col("name_a").alias("first"), F.col("name_b").alias("second"), "matched", "longest")).alias("report"))
+
+
+@query(V.CMP, "SELECT a, b, printf('%.2f', avg_sim * 100) || '%' AS avg, printf('%.2f', max_sim * 100) || '%' AS max FROM cmp")
+def formatted_metrics(spark, sf):
+    share = lambda c: F.concat(F.format_string("%.2f", F.col(c) * 100), F.lit("%"))
+    return V.comparisons(spark, sf).select("a", "b", share("avg_sim").alias("avg"), share("max_sim").alias("max"))
+
+
+# --- functions on tables ---------------------------------------------------------------------------------------------
+
+
+@query(None, "SELECT page_id, regexp_extract(url, '^([^:]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '([^/]*)$', 1) AS last, split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', -1) AS tld FROM pages")
+def url_parts(spark, sf):
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return table(spark, sf, "pages", "page_id", "url").select("page_id", F.regexp_extract("url", "^([^:]+)://", 1).alias("scheme"), host.alias("host"), F.substring_index("url", "/", -1).alias("last"), F.substring_index(host, ".", -1).alias("tld"))
+
+
+@query(None, "WITH m AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, min(url) AS lo, max(url) AS hi FROM pages GROUP BY 1) SELECT host, lo[:coalesce(list_max([k FOR k IN range(1, length(lo) + 1) IF lo[:k] = hi[:k]]), 0)] AS prefix FROM m")
+def common_prefix(spark, sf):
+    pages = table(spark, sf, "pages", "url").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.min("url").alias("lo"), F.max("url").alias("hi"))
+    return pages.select("host", T.common_prefix(F.array("lo", "hi")).alias("prefix"))
+
+
+@query(None, "SELECT p_partkey, upper(regexp_replace(regexp_replace(p_type, ' ', '', 'g'), '([a-z])([A-Z])', '\\1_\\2', 'g')) AS name FROM part")
+def all_caps_names(spark, sf):
+    return table(spark, sf, "part", "p_partkey", "p_type").select("p_partkey", T.all_caps(F.regexp_replace("p_type", " ", "")).alias("name"))
+
+
+@query(None, "SELECT p_partkey, p_size // 10 AS major, p_size % 10 AS minor, p_partkey % 7 AS patch, row_number() OVER (ORDER BY p_size // 10, p_size % 10, p_partkey % 7, p_partkey) AS place FROM part")
+def version_order(spark, sf):
+    parts = [F.floor(F.col("p_size") / 10), F.col("p_size") % 10, F.col("p_partkey") % 7]
+    text = F.concat(F.lit("v"), F.concat_ws(".", *(big(p).cast("string") for p in parts)), F.lit("-SNAPSHOT"))
+    v = T.version(text)
+    rows = table(spark, sf, "part", "p_partkey", "p_size").select("p_partkey", v.alias("v"))
+    return rows.select("p_partkey", F.col("v.major").alias("major"), F.col("v.minor").alias("minor"), big("v.patch").alias("patch"), big(F.row_number().over(Window.orderBy("v", "p_partkey"))).alias("place"))
+
+
+@query(None, "WITH c AS (SELECT embedding AS c FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(sqrt(list_sum([(x - c[i]) ** 2 FOR x, i IN CAST(embedding AS DOUBLE[])])), 5) AS distance FROM embeddings, (SELECT CAST(c AS DOUBLE[]) AS c FROM c)")
+def vector_distance(spark, sf):
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    first = e.agg(F.min_by("embedding", "vec_id").alias("c"))
+    square = F.zip_with("embedding", "c", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2)))
+    return e.crossJoin(F.broadcast(first)).select("vec_id", F.round(F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x)), 5).alias("distance"))  # one row
+
+
+# --- generic: joins and windows that the operators above use implicitly ------------------------------------------------
+
+
+@query(None, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def customers_without_orders(spark, sf):
+    return table(spark, sf, "customer", "c_custkey").join(table(spark, sf, "orders", F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query(None, "SELECT o_orderkey, round(cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice), 6) AS share FROM orders")
+def cume_dist_orders(spark, sf):
+    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice")
+    return table(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").select("o_orderkey", F.round(F.cume_dist().over(w), 6).alias("share"))
+
+
+@query(None, "SELECT user_id, event_type, nxt, count(*) AS n FROM (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY ALL")
+def event_bigrams(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf, "events", "user_id", "event_type", "ts", "event_id").withColumn("nxt", F.lead("event_type").over(w))
+    return rows.where("nxt is not null").groupBy("user_id", "event_type", "nxt").agg(F.count("*").alias("n"))
