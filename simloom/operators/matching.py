@@ -21,14 +21,15 @@ def maximal_runs(seq: DataFrame, k: int, left: DataFrame | None = None, within:
     with ``within``, runs that a submission repeats are found as well, once each, with ``a = b``.
     """
     g = tokens.grams(seq, k)
+    if left is not None:
+        g = g.join(left.select("sub").distinct().withColumn("new", F.lit(True)), "sub", "left")
     a, b = g.alias("a"), g.alias("b")
     before = F.col("a.sub") < F.col("b.sub")
     if within:
         before = before | ((F.col("a.sub") == F.col("b.sub")) & (F.col("a.pos") < F.col("b.pos")))
-    both = a.join(b, (F.col("a.gram") == F.col("b.gram")) & before)
     if left is not None:
-        new = left.select(F.col("sub").alias("n"))
-        both = both.join(new.alias("x"), F.col("a.sub") == F.col("x.n"), "left").join(new.alias("y"), F.col("b.sub") == F.col("y.n"), "left").where("x.n is not null or y.n is not null")
+        before = before & (F.coalesce("a.new", F.lit(False)) | F.coalesce("b.new", F.lit(False)))
+    both = a.join(b, (F.col("a.gram") == F.col("b.gram")) & before)
     first = F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True))
     last = F.coalesce(F.col("a.after") != F.col("b.after"), F.lit(True))
     edge = both.select(F.col("a.sub").alias("a"), F.col("b.sub").alias("b"), F.col("a.pos").alias("s1"), F.col("b.pos").alias("s2"), first.alias("first"), last.alias("last")).where("first or last")
@@ -110,8 +111,7 @@ def merged(matches: DataFrame, min_match: int, gap: int, required: int, file_end
         ends = file_ends.groupBy("sub").agg(F.collect_set("pos").alias("ends"))
         for side, s, g in (("a", "s1", "gap1"), ("b", "s2", "gap2")):
             rows = rows.join(ends.withColumnsRenamed({"sub": side, "ends": f"ends_{side}"}), side, "left")
-            from_, to = F.col(s) + F.col("len"), F.col(s) + F.col("len") + F.col(g)
-            crossed = F.exists(F.coalesce(f"ends_{side}", F.array().cast("array<int>")), lambda e, f=from_, t=to: (e >= f) & (e < t))
+            crossed = F.expr(f"exists(coalesce(ends_{side}, array()), e -> e >= {s} + len and e < {s} + len + {g})")
             rows = rows.withColumn("link", F.col("link") & ~crossed).drop(f"ends_{side}")
     w = Window.partitionBy("a", "b").orderBy("r1")
     starts = (~F.coalesce(F.lag("link").over(w), F.lit(False))).cast("int")

@@ -71,3 +71,12 @@ def exclusion_mask(seq: DataFrame, marking: DataFrame) -> DataFrame:
     covered = marking.groupBy("sub").agg(F.sum(F.col("e") - F.col("s")).alias("covered"))
     n = (F.size("words") + FILE_END).cast("long")
     return seq.join(covered, "sub", "left").select("sub", n.alias("n_tokens"), (F.coalesce("covered", F.lit(0)) + FILE_END).cast("long").alias("n_excluded"))
+
+
+def masked(seq: DataFrame, marking: DataFrame) -> DataFrame:
+    """``seq`` with each marked token replaced by a word of its own, which equals no other."""
+    spans = marking.groupBy("sub").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    inside = lambda k: F.exists("spans", lambda x: (k >= x["s"]) & (k < x["e"]))
+    own = lambda w, k: F.when(inside(k), F.concat_ws(":", F.lit("\0"), F.col("sub").cast("string"), k.cast("string"))).otherwise(w)
+    words = F.when(F.col("spans").isNull(), F.col("words")).otherwise(F.transform("words", own))
+    return seq.join(spans, "sub", "left").select("sub", words.alias("words"))

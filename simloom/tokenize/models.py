@@ -15,24 +15,27 @@ METAMODEL = {"EPackage": "PACKAGE", "EClass": "CLASS", "EEnum": "ENUM", "EDataTy
 STATECHART = {"scxml": "STATECHART", "state": "STATE", "parallel": "PARALLEL_STATE", "initial": "INITIAL", "final": "FINAL_STATE", "history": "HISTORY", "transition": "TRANSITION", "onentry": "ON_ENTRY", "onexit": "ON_EXIT", "if": "IF", "elseif": "ELSE_IF", "else": "ELSE", "foreach": "FOREACH", "assign": "ASSIGNMENT", "script": "SCRIPT", "send": "SEND", "raise": "RAISE", "cancel": "CANCEL", "log": "LOG", "datamodel": "DATAMODEL", "data": "DATA", "param": "PARAM", "invoke": "INVOKE"}
 
 
+#: Holds an element's line and column; no attribute of a file can have this name.
+PLACE = "\0place"
+
+
 def _parsed(text: str) -> ElementTree.Element:
-    """The tree, each element with its line and column in ``line`` and ``column`` of its attributes' shadow."""
-    places: list[tuple[int, int]] = []
+    """The tree, each element with its place."""
+    build = ElementTree.TreeBuilder()
+    parser = expat.ParserCreate(namespace_separator="}")
+    named = lambda n: "{" + n if "}" in n else n
 
-    class Builder(ElementTree.TreeBuilder):
-        def start(self, tag, attrs):
-            places.append((parser.parser.CurrentLineNumber, parser.parser.CurrentColumnNumber + 1))
-            return super().start(tag, attrs)
+    def start(tag: str, attrs: dict) -> None:
+        x = build.start(named(tag), {named(k): v for k, v in attrs.items()})
+        x.set(PLACE, (parser.CurrentLineNumber, parser.CurrentColumnNumber + 1))
 
-    parser = ElementTree.XMLParser(target=Builder())
+    parser.StartElementHandler = start
+    parser.EndElementHandler = lambda tag: build.end(named(tag))
     try:
-        parser.feed(text)
-        root = parser.close()
-    except (ElementTree.ParseError, expat.ExpatError, ValueError) as e:
+        parser.Parse(text, True)
+    except (expat.ExpatError, ValueError) as e:
         raise ParseError(str(e)) from e
-    for x, place in zip(root.iter(), places, strict=True):
-        x.set("\0place", place)  # no attribute of a file can have this name
-    return root
+    return build.close()
 
 
 def _kind(x: ElementTree.Element, table: dict[str, str] | None) -> str | None:
@@ -43,7 +46,7 @@ def _kind(x: ElementTree.Element, table: dict[str, str] | None) -> str | None:
 
 def _emit(x: ElementTree.Element, table, order, out: list[Tok]) -> None:
     kind = _kind(x, table)
-    line, column = x.get("\0place")
+    line, column = x.get(PLACE)
     if kind:
         out.append(Tok(kind, line, column, 1))
     if table is METAMODEL and x.get("eSuperTypes"):
