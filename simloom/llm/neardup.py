@@ -6,9 +6,10 @@
    pivot (the pivot's order changes with the key, so a large group meets several pivots). Verified links give
    first components.
 3. Only buckets whose members still belong to several components are looked at again: each member outside
-   the bucket's most frequent component is verified against all members of other components. Large buckets are
-   dealt in blocks of bounded size. After this every pair that shares a bucket has been verified, or was
-   connected anyway, so no bucket is capped and no pairs are listed.
+   the bucket's most frequent component meets all members of other components. Large buckets are dealt in
+   blocks of bounded size. Members whose sketch is near none of the others' drop out, the rest is verified.
+   After this every pair that shares a bucket has been looked at, or was connected anyway, so no bucket is
+   capped and no pairs are listed.
 4. Components over all verified links.
 
 Verification counts the common shingles of whole sets.
@@ -16,7 +17,7 @@ Verification counts the common shingles of whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from simloom.llm.components import components
 BANDS, ROWS = 50, 6
 #: Similarity in percent.
 PERCENT = 75
+#: Sketches may agree on less of their coordinates than sets do, by so many standard deviations.
+SLACK = 4.5
 #: Members of a side of a verification task.
 BLOCK = 256
 #: Orders from which a bucket's pivot is taken.
@@ -72,16 +75,18 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, n long, bands array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``(node, fp, shingles)``: the set of each document as little-endian 64-bit hashes, sorted."""
-    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary()), ("shingles", pa.binary())])
+def _sets(docs: DataFrame, t: int) -> DataFrame:
+    """``(node, fp, shingles, sketch)``: each set as sorted little-endian 64-bit hashes, its sketch by low bytes."""
+    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary()), ("shingles", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches):
-            sets = [shingles.shingles(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], schema=schema)
+            some = [(i, s) for i, s in ((i, shingles.shingles(x)) for i, x in zip(ids, texts, strict=True)) if len(s)]
+            low = (shingles.sketches([s for _, s in some], t) & np.uint64(255)).astype(np.uint8)
+            cols = [[i for i, _ in some], [_fingerprint(s) for _, s in some], [s.astype("<u8").tobytes() for _, s in some], [x.tobytes() for x in low]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "node long, fp binary, shingles binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "node long, fp binary, shingles binary, sketch binary")
 
 
 def links_of(a: list[tuple], b: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
@@ -112,29 +117,64 @@ def links_of(a: list[tuple], b: list[tuple], percent: int) -> Iterator[tuple[int
                 yield node, b[k][0]
 
 
-def _verified(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links found in each task of ``tasks(task, first, node, label)``: its first side against the other."""
-    rows = tasks.join(sets, "node").select("task", "first", "node", "label", "shingles")
+TASK = "struct<k:long,i:long,j:long>"
+Side = list[tuple]
+
+
+def _met(tasks: DataFrame, payloads: DataFrame, what: str, meet: Callable[[dict, Side, Side], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """What ``meet`` yields for each task of ``tasks(task, first, node, label)``: its first side against the other.
+
+    A side's rows are (node, label, payload). A task's rows are bounded by its making; tasks are streamed.
+    """
+    rows = tasks.join(payloads.select("node", what), "node").select("task", "first", "node", "label", what)
     rows = rows.repartition("task").sortWithinPartitions("task", F.col("first").desc(), "node")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = None
-        sides: dict[bool, list[tuple]] = {True: [], False: []}
+        sides: dict[bool, Side] = {True: [], False: []}
 
-        def done() -> pa.RecordBatch:
-            found = list(links_of(sides[True], sides[False], percent)) if sides[True] and sides[False] else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
+        def done() -> Iterator[pa.RecordBatch]:
+            found = list(meet(task, sides[True], sides[False])) if sides[True] and sides[False] else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for t, first, node, label, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if t != task:
-                    yield done()
+                    yield from done()
                     task, sides = t, {True: [], False: []}
-                sides[first].append((node, label, np.frombuffer(raw, dtype="<u8")))
-        yield done()
+                sides[first].append((node, label, raw))
+        yield from done()
+
+    return rows.mapInArrow(run, ddl)
+
+
+def _verified(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: links by whole sets."""
+    whole = lambda side: [(node, label, np.frombuffer(raw, dtype="<u8")) for node, label, raw in side]
+    meet = lambda _, a, b: links_of(whole(a), whole(b), percent)
+    return _met(tasks, sets, "shingles", meet, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
+
+
+def _plausible(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``tasks`` whose sketch is near one of another label on the other side."""
+
+    def meet(task: dict, a: Side, b: Side) -> Iterator[tuple]:
+        sb = np.array([np.frombuffer(raw, dtype=np.uint8) for *_, raw in b])
+        label = np.array([x for _, x, _ in b])
+        wanted = np.zeros(len(b), dtype=bool)
+        p = percent / 100
+        least = p - SLACK * (p * (1 - p) / sb.shape[1]) ** 0.5
+        for node, own, raw in a:
+            near = ((sb == np.frombuffer(raw, dtype=np.uint8)).mean(1) >= least) & (label != own)
+            if near.any():
+                wanted |= near
+                yield task, True, node, own
+        for k in np.flatnonzero(wanted):
+            yield task, False, b[k][0], b[k][1]
 
-    return rows.mapInArrow(run, "a long, b long")
+    one = pa.struct([("k", pa.int64()), ("i", pa.int64()), ("j", pa.int64())])
+    return _met(tasks, sets, "sketch", meet, pa.schema([("task", one), ("first", pa.bool_()), ("node", pa.int64()), ("label", pa.int64())]), f"task {TASK}, first boolean, node long, label long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -156,14 +196,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
     involved = members.select("node", "fp").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = store.save(_sets(texts).join(involved, ["node", "fp"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    sets = store.save(_sets(texts, bands * rows).join(involved, ["node", "fp"], "left_semi").dropDuplicates(["node"]).drop("fp"), "sets")
 
     close = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("node") != F.col("pivot"))
     pairs = members.where(close).select("pivot", "node").distinct()
     spokes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("blocks"))
     part = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = pairs.join(spokes, "pivot").select(F.struct("pivot", part.alias("i"), F.lit(0).cast("long").alias("j")).alias("task"), F.lit(False).alias("first"), "node", F.col("node").alias("label"))
-    one = spokes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i")).select(F.struct("pivot", "i", F.lit(0).cast("long").alias("j")).alias("task"), F.lit(True).alias("first"), F.col("pivot").alias("node"), F.col("pivot").alias("label"))
+    other = pairs.join(spokes, "pivot").select(F.struct(F.col("pivot").alias("k"), part.alias("i"), F.lit(0).cast("long").alias("j")).alias("task"), F.lit(False).alias("first"), "node", F.col("node").alias("label"))
+    one = spokes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i")).select(F.struct(F.col("pivot").alias("k"), "i", F.lit(0).cast("long").alias("j")).alias("task"), F.lit(True).alias("first"), F.col("pivot").alias("node"), F.col("pivot").alias("label"))
     links = store.save(_verified(one.unionByName(other), sets, percent), "links")
 
     # Buckets that hold several components: what is outside the most frequent one meets all others.
@@ -178,8 +218,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     few = mixed.where("label <> most").select("key", F.pmod(h, F.col("few_blocks")).alias("i"), upto("blocks").alias("j"), F.lit(True).alias("first"), "node", "label")
     every = mixed.select("key", upto("few_blocks").alias("i"), F.pmod(h, F.col("blocks")).alias("j"), F.lit(False).alias("first"), "node", "label")
-    tasks = few.unionByName(every).select(F.struct("key", "i", "j").alias("task"), "first", "node", "label")
-    more = store.save(_verified(tasks, sets, percent), "links")
+    tasks = few.unionByName(every).select(F.struct(F.col("key").alias("k"), "i", "j").alias("task"), "first", "node", "label")
+    more = store.save(_verified(_plausible(tasks, sets, percent), sets, percent), "links")
 
     # Links of the second round join components of the first by their members.
     final = components(links.unionByName(more))
