@@ -36,6 +36,8 @@ PERCENT = 75
 SLACK = 4.5
 #: Members of a side of a verification task.
 BLOCK = 256
+#: Ids that are broadcast at most, of 8 bytes each.
+FEW_IDS = 500_000
 #: Orders from which a bucket's pivot is taken.
 ORDERS = 5
 
@@ -195,7 +197,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     members = store.save(spread.join(stars, "key").select("key", "size", "fp", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "buckets")
 
     involved = members.select("node", "fp").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = involved.select(F.col("node").alias("doc_id")).distinct()
+    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        ids = F.broadcast(ids)  # so that texts stay where they are; more ids than that take a shuffle of the texts
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = store.save(_sets(texts, bands * rows).join(involved, ["node", "fp"], "left_semi").dropDuplicates(["node"]).drop("fp"), "sets")
 
     close = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("node") != F.col("pivot"))
