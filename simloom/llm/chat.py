@@ -73,8 +73,8 @@ def canonical(records: DataFrame, json: str = "record", mappings: Sequence[Mappi
     """``records`` with ``layout`` and ``turns``.
 
     The column ``json`` holds one JSON object a row. Fields that no mapping names don't matter; a record whose
-    named fields are those of no mapping, and one that is null or not JSON, has a null layout and no turns. A
-    null text in a list of messages counts as empty, a null role too.
+    named fields are those of no mapping, and one that is null or not JSON, or larger than the engine's variants
+    may be (some tens of MB), has a null layout and no turns. A null text in a list of messages counts as empty, a null role too.
     """
     seen = records.withColumn("__record", F.try_parse_json(json)).withColumn("__fp", fingerprint(mappings))
     layout = reduce(lambda c, m: c.when(F.col("__fp") == m.fingerprint, m.name), mappings, F.when(F.lit(False), ""))
