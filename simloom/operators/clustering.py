@@ -240,12 +240,13 @@ def single_linkage(edges: DataFrame, threshold: float) -> DataFrame:
     """
     spark = edges.sparkSession
     links = edges.where(F.col("w") >= threshold).select("i", "j")
-    both = links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    labels = both.groupBy(F.col("i").alias("node")).agg(F.least(F.min("j"), F.first("i")).alias("label"))
     checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    cut = lambda df: df.checkpoint() if checkpoints else df.persist()
+    both = cut(links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    labels = both.groupBy(F.col("i").alias("node")).agg(F.least(F.min("j"), F.first("i")).alias("label"))
     was = None
     while True:
-        labels = labels.checkpoint() if checkpoints else labels.persist()
+        labels = cut(labels)
         state = labels.agg(F.sum("label"), F.count("*")).first()
         if state == was:
             return labels.select("node", F.col("label").alias("component"))
