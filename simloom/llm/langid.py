@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simloom.llm import worker
+
 UNKNOWN = "und"
 
 
@@ -100,8 +102,6 @@ class CrossParser:
     BLOCK = 512
     SPACE, STRANGE, PAD = 0, 1, 2
 
-    _made: tuple[object, CrossParser] | None = None
-
     def __init__(self, samples: dict[str, str], symbols: int = 200):
         self.langs = sorted(samples)
         freq = Counter(c for k in self.langs for c in samples[k] if c.isalpha())
@@ -128,9 +128,10 @@ class CrossParser:
 
     @classmethod
     def shared(cls, samples: dict[str, str]) -> CrossParser:
-        if cls._made is None or cls._made[0] != samples:
-            cls._made = (samples, cls(samples))
-        return cls._made[1]
+        made = worker.kept("langid", dict)
+        if made.get("samples") != samples:
+            made.update(samples=samples, parser=cls(samples))
+        return made["parser"]
 
     def letters(self, text: str) -> np.ndarray:
         """Symbols of ``text``: runs of anything but letters as one space, none at the ends."""

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from simloom.llm import worker
 from simloom.llm.shingles import mix
 
 _U = np.uint64
@@ -47,9 +48,7 @@ class PieceCoder:
 
     LONG = 48
 
-    _made: dict[tuple[str, Dropout], PieceCoder] = {}
-
-    def __init__(self, path: str, dropout: Dropout = Dropout(), keep: int = 200_000):
+    def __init__(self, path: str, dropout: Dropout = Dropout(), keep: int = 120_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.dropout, self.keep = dropout, keep
         n = sp.get_piece_size()
@@ -84,9 +83,10 @@ class PieceCoder:
 
     @classmethod
     def shared(cls, path: str, dropout: Dropout) -> PieceCoder:
-        if (path, dropout) not in cls._made:
-            cls._made[path, dropout] = cls(path, dropout)
-        return cls._made[path, dropout]
+        made = worker.kept("pieces", dict)
+        if (path, dropout) not in made:
+            made[path, dropout] = cls(path, dropout)
+        return made[path, dropout]
 
     def _key(self, word: str, variant: int) -> int:
         return xxhash.xxh64_intdigest(f"{self.dropout.seed}:{variant}:{word}")

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from simloom.llm import worker
+
 WIDTH = 5
 
 _U = np.uint64
@@ -39,7 +41,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
 _JOIN = constants(11, WIDTH)
 
 
@@ -53,9 +54,10 @@ def shingles(text: str | bytes | None) -> np.ndarray:
     words = raw.split()
     if not words:
         return np.empty(0, dtype=_U)
-    if len(_words) > 400_000:
-        _words.clear()
-    h = np.frombuffer(b"".join(map(_words.__getitem__, words)), dtype=">u8").astype(_U)
+    hashes = worker.kept("shingles", _Words)
+    if len(hashes) > 200_000:
+        hashes.clear()
+    h = np.frombuffer(b"".join(map(hashes.__getitem__, words)), dtype=">u8").astype(_U)
     n = max(1, len(h) - WIDTH + 1)
     out = np.full(n, _U(min(len(h), WIDTH)), dtype=_U)
     for k in range(min(len(h), WIDTH)):

@@ -7,6 +7,8 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
+from simloom.llm import worker
+
 #: Punctuation that is split from the end of an unknown word, so that more words are known.
 TAIL = ".,;:!?%&*$#)\"'"
 #: Joins unknown words for one call of the encoder; words that hold it are encoded alone.
@@ -20,9 +22,7 @@ class WordTokenizer:
     its words in order. Two generations of at most ``keep`` words bound the memory.
     """
 
-    _made: dict[str, WordTokenizer] = {}
-
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 180_000):
         self.tok = Tokenizer.from_file(path)
         self.keep = keep
         self.new: dict[str, bytes] = {"": b""}
@@ -37,9 +37,10 @@ class WordTokenizer:
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
         """One encoder a worker process and vocabulary."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        made = worker.kept("wordtokens", dict)
+        if path not in made:
+            made[path] = cls(path)
+        return made[path]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
