@@ -57,44 +57,67 @@ MAPPINGS = (
 )
 
 
-def _has(record: Column, path: str) -> Column:
+#: No text of a record is too long; without this, the engine's reader stops at 20,000,000 characters.
+LIMITS = {"maxStringLen": str((1 << 31) - 1)}
+OBJECT = "map<string,string>"
+LIST = f"array<{OBJECT}>"
+
+
+def _read(json: str, mappings: Sequence[Mapping]) -> dict[str, Column]:
+    """Columns with the record's fields that any mapping names: its texts, its objects and its lists of objects."""
+    paths = [p.split(".") for m in mappings for p in (*(p for p in m.paths if "[]" not in p), *(p.removeprefix("$.") for _, p in m.turns))]
+    lists = [m.items.split(".") for m in mappings if m.items]
+    kinds = {"__texts": ("string", {p[0] for p in paths if len(p) == 1}), "__objects": (OBJECT, {p[0] for p in paths + lists if len(p) > 1}), "__lists": (LIST, {p[0] for p in lists if len(p) == 1})}
+    return {k: F.from_json(json, ", ".join(f"`{x}` {t}" for x in sorted(names) or ["__none"]), LIMITS) for k, (t, names) in kinds.items()}
+
+
+def _at(path: str, kind: str = "string") -> Column:
+    """The text, object or list at ``path`` of the record that ``_read`` has read."""
+    above, _, name = path.rpartition(".")
+    if not above:
+        return F.col({"string": "__texts", OBJECT: "__objects", LIST: "__lists"}[kind])[name]
+    value = F.element_at(_at(above, OBJECT), name)
+    return value if kind == "string" else F.from_json(value, kind, LIMITS)
+
+
+def _has(path: str) -> Column:
     """Whether the field at ``path`` is there with text in it; ``a[].b`` looks into the first element of ``a``."""
-    return F.expr(f"try_variant_get({{0}}, '$.{path.replace('[]', '[0]')}', 'string')".format("__record")).isNotNull()
+    items, _, name = path.partition("[].")
+    return (F.element_at(F.get(_at(items, LIST), F.lit(0)), name) if name else _at(path)).isNotNull()
 
 
 def fingerprint(mappings: Sequence[Mapping]) -> Column:
-    """Hash of the sorted field paths, of those that any mapping names, which the record ``__record`` has."""
+    """Hash of the sorted field paths, of those that any mapping names, which the record read has."""
     known = sorted({p for m in mappings for p in m.paths})
-    present = F.array_compact(F.array(*(F.when(_has(F.col("__record"), p), F.lit(p)) for p in known)))
+    present = F.array_compact(F.array(*(F.when(_has(p), F.lit(p)) for p in known)))
     return F.xxhash64(F.array_join(present, ","))
 
 
 def canonical(records: DataFrame, json: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """``records`` with ``layout`` and ``turns``.
 
-    The column ``json`` holds one JSON object a row. Fields that no mapping names don't matter; a record whose
-    named fields are those of no mapping, and one that is null or not JSON, or larger than the engine's variants
-    may be (some tens of MB), has a null layout and no turns. A null text in a list of messages counts as empty, a null role too.
+    The column ``json`` holds one JSON object a row, of any size that a column can hold. Fields that no mapping
+    names don't matter; a record whose named fields are those of no mapping, and one that is null or not JSON, has
+    a null layout and no turns. A null text in a list of messages counts as empty, a null role too.
     """
-    seen = records.withColumn("__record", F.try_parse_json(json)).withColumn("__fp", fingerprint(mappings))
+    seen = records.withColumns(_read(json, mappings)).withColumn("__fp", fingerprint(mappings))
     layout = reduce(lambda c, m: c.when(F.col("__fp") == m.fingerprint, m.name), mappings, F.when(F.lit(False), ""))
     none = F.array().cast(f"array<{TURN}>")
     turns = F.when(F.lit(False), none)
     for m in mappings:
         if m.items:
-            element = F.expr(f"try_variant_get(__record, '$.{m.items}', 'array<variant>')")
 
             def turn(x: Column) -> Column:
-                role = F.try_variant_get(x, f"$.{m.role}", "string")
+                role = F.element_at(x, m.role)
                 named = reduce(lambda c, r: c.when(role == r[0], r[1]), m.roles, F.when(F.lit(False), "")).otherwise(role)
-                return F.struct(F.coalesce(named, F.lit("")).alias("role"), F.coalesce(F.try_variant_get(x, f"$.{m.text}", "string"), F.lit("")).alias("text"))
+                return F.struct(F.coalesce(named, F.lit("")).alias("role"), F.coalesce(F.element_at(x, m.text), F.lit("")).alias("text"))
 
-            made = F.transform(element, turn)
+            made = F.transform(_at(m.items, LIST), turn)
         else:
-            made = F.array(*(F.struct(F.lit(r).alias("role"), F.expr(f"coalesce(try_variant_get(__record, '{p}', 'string'), '')").alias("text")) for r, p in m.turns))
+            made = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(_at(p.removeprefix("$.")), F.lit("")).alias("text")) for r, p in m.turns))
         turns = turns.when(F.col("__fp") == m.fingerprint, made)
     out = seen.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, none))
-    return out.drop("__record", "__fp")
+    return out.drop("__texts", "__objects", "__lists", "__fp")
 
 
 def escaped(text: Column) -> Column:

@@ -52,3 +52,15 @@ def test_round_trip(spark):
         want.setdefault(c, []).append((role or "", text or ""))
     assert {r.conv_id: [tuple(t) for t in r.turns] for r in out} == want
     assert {r.conv_id: r.loss for r in out} == {c: "".join(x for role, x in v if role == "assistant") for c, v in want.items()}
+
+
+def test_long_text(spark):
+    long = F.repeat(F.lit("x"), 20_000_001)
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.when(F.col("id") == 0, long).otherwise("b").alias("text"))
+    plain = spark.range(1).select(F.lit(2).alias("conv_id"), F.to_json(F.struct(F.lit("a").alias("prompt"), long.alias("response"))).alias("record"))
+    out = chat.render(chat.messages(rows).unionByName(plain)).select("conv_id", "layout", F.length("formatted").alias("n"), F.transform("loss", lambda s: s["end"] - s["start"]).alias("loss"))
+    head = len(chat.START + "assistant\n" + chat.END)
+    assert {r.conv_id: (r.layout, r.n, r.loss) for r in out.collect()} == {
+        1: ("messages", 2 * head + 20_000_002, [20_000_001, 1]),
+        2: ("prompt_response", 2 * head - len("assistant") + len("user") + 1 + 20_000_001, [20_000_001]),
+    }
