@@ -81,15 +81,30 @@ def _at(path: str, kind: str = "string") -> Column:
 
 
 def _has(path: str) -> Column:
-    """Whether the field at ``path`` is there with text in it; ``a[].b`` looks into the first element of ``a``."""
+    """Whether the record has a field at ``path``, null or not; for ``a[].b``, whether an element of ``a`` has ``b``."""
     items, _, name = path.partition("[].")
-    return (F.element_at(F.get(_at(items, LIST), F.lit(0)), name) if name else _at(path)).isNotNull()
+    if name:
+        return F.exists(_at(items, LIST), lambda x: F.map_contains_key(x, name))
+    above, _, name = path.rpartition(".")
+    return F.map_contains_key(_at(above, OBJECT), name) if above else F.array_contains("__keys", name)
+
+
+def _stray(items: str, names: Sequence[str]) -> Column:
+    """Whether an element of the list ``items`` is no object or has none of the fields ``names``."""
+    return F.exists(_at(items, LIST), lambda x: ~F.coalesce(F.arrays_overlap(F.map_keys(x), F.array(*map(F.lit, names))), F.lit(False)))
 
 
 def fingerprint(mappings: Sequence[Mapping]) -> Column:
-    """Hash of the sorted field paths, of those that any mapping names, which the record read has."""
-    known = sorted({p for m in mappings for p in m.paths})
-    present = F.array_compact(F.array(*(F.when(_has(p), F.lit(p)) for p in known)))
+    """Hash of the sorted field paths, of those that any mapping names, which the record read has.
+
+    The fields that mappings name in elements of some list are looked for in all lists, and an element without
+    any of them counts as a path ``[]`` of its own, so a list of mixed layouts has the hash of no mapping.
+    """
+    lists = sorted({m.items for m in mappings if m.items})
+    names = sorted({p.partition("[].")[2] for m in mappings for p in m.paths if "[]" in p})
+    paths = {p: _has(p) for p in {p for m in mappings for p in m.paths} | {f"{x}[].{n}" for x in lists for n in names}}
+    paths |= {f"{x}[]": _stray(x, names) for x in lists}
+    present = F.array_compact(F.array(*(F.when(paths[p], F.lit(p)) for p in sorted(paths))))
     return F.xxhash64(F.array_join(present, ","))
 
 
@@ -98,9 +113,11 @@ def canonical(records: DataFrame, json: str = "record", mappings: Sequence[Mappi
 
     The column ``json`` holds one JSON object a row, of any size that a column can hold. Fields that no mapping
     names don't matter; a record whose named fields are those of no mapping, and one that is null or not JSON, has
-    a null layout and no turns. A null text in a list of messages counts as empty, a null role too.
+    a null layout and no turns. So has one with a list whose elements have different layouts, or in which an element
+    has no field that a mapping names. A null text counts as empty, wherever it is, and a null role too.
     """
-    seen = records.withColumns(_read(json, mappings)).withColumn("__fp", fingerprint(mappings))
+    read = _read(json, mappings) | {"__keys": F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))}
+    seen = records.withColumns(read).withColumn("__fp", fingerprint(mappings))
     layout = reduce(lambda c, m: c.when(F.col("__fp") == m.fingerprint, m.name), mappings, F.when(F.lit(False), ""))
     none = F.array().cast(f"array<{TURN}>")
     turns = F.when(F.lit(False), none)
@@ -117,7 +134,7 @@ def canonical(records: DataFrame, json: str = "record", mappings: Sequence[Mappi
             made = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(_at(p.removeprefix("$.")), F.lit("")).alias("text")) for r, p in m.turns))
         turns = turns.when(F.col("__fp") == m.fingerprint, made)
     out = seen.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, none))
-    return out.drop("__texts", "__objects", "__lists", "__fp")
+    return out.drop("__keys", "__texts", "__objects", "__lists", "__fp")
 
 
 def escaped(text: Column) -> Column:

@@ -64,3 +64,23 @@ def test_long_text(spark):
         1: ("messages", 2 * head + 20_000_002, [20_000_001, 1]),
         2: ("prompt_response", 2 * head - len("assistant") + len("user") + 1 + 20_000_001, [20_000_001]),
     }
+
+
+PRESENCE = [
+    ({"messages": [{"role": "system", "content": None}, {"role": "user", "content": "hi"}]}, "messages", [("system", ""), ("user", "hi")]),
+    ({"messages": [{"role": "assistant"}, {"role": None, "content": "hi"}]}, "messages", [("assistant", ""), ("", "hi")]),
+    ({"prompt": None, "response": "x"}, "prompt_response", [("user", ""), ("assistant", "x")]),
+    ({"data": {"prompt": "x", "completion": None}}, "nested_data", [("user", "x"), ("assistant", "")]),
+    ({"conversations": [{"value": "a"}, {"from": "gpt", "value": "b"}], "system": 1}, None, []),
+    ({"conversations": [{"value": "a"}, {"from": "gpt", "value": "b"}]}, "conversations", [("", "a"), ("assistant", "b")]),
+    ({"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}]}, None, []),
+    ({"messages": [{"role": "user", "content": "a"}, {"speaker": "gpt", "said": "b"}]}, None, []),
+    ({"messages": [{"role": "user", "content": "a"}, "b"]}, None, []),
+    ({"messages": [{"role": "user", "content": "a"}, None]}, None, []),
+]
+
+
+def test_paths_of_all_elements(spark):
+    df = spark.createDataFrame([(k, json.dumps(x)) for k, (x, _, _) in enumerate(PRESENCE)], "id long, record string")
+    got = {r.id: (r.layout, [tuple(t) for t in r.turns]) for r in chat.canonical(df).collect()}
+    assert got == {k: (layout, turns) for k, (_, layout, turns) in enumerate(PRESENCE)}
