@@ -2,12 +2,14 @@
 
 A text starts as its characters. An agenda holds the possible merges of neighbours; the one of the best score,
 then the leftmost, is taken each time. A candidate is skipped for good with a given probability, decided by a
-keyed hash of the word, its variant, the place and the piece, so that a seed gives the same result wherever and
-however often a task runs. Characters outside the vocabulary become byte pieces, so decoding restores the text.
-
-No piece crosses from another character to a blank or a line break, so texts are encoded word by word. Each
-occurrence of a word draws one of several variants by a hash of seed, row and place. The agendas of all new
-words of a batch are processed in lock step; very long words have a heap each.
+hash keyed by the seed, the row and the place of the word's occurrence, so that every occurrence has skips of its
+own and a seed gives the same result wherever and however often a task runs. Characters outside the vocabulary
+become byte pieces, so decoding restores the text.
+
+No piece crosses from another character to a blank or a line break, so texts are encoded word by word. What a
+word becomes depends on the steps of its agenda that are skipped, and on nothing else: words and their skipped
+steps make a tree whose nodes are learnt as occurrences reach them. Occurrences descend it by their own draws, all
+of a batch at once. The agendas of all new nodes are processed in lock step; very long words have a heap each.
 """
 
 from __future__ import annotations
@@ -36,19 +38,63 @@ WORDS = re.compile(r" *[^ \n]+|\n| +")
 
 @dataclass(frozen=True)
 class Dropout:
-    """Probability that a merge is skipped, the seed, and the variants of a word."""
+    """Probability that a merge is skipped, and the seed."""
 
     p: float = 0.1
     seed: int = 0
-    variants: int = 4
+
+
+class Tree:
+    """Words by the steps that were skipped: each node's number of steps and ids, and its nodes below.
+
+    A node is a word with some steps skipped. The node below at step ``k`` has that step skipped too, after all
+    the others. ``used`` counts the occurrences that came through a node.
+    """
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.below: dict[int, int] = {}
+        self.names: list[str] = []
+        self.ids: list[bytes] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.steps = np.zeros(1024, dtype=np.int64)
+        self.used = np.zeros(1024, dtype=np.int64)
+
+    def add(self, names: list[str], skips: list[tuple[int, ...]], ids: list[bytes], steps: np.ndarray) -> None:
+        n = len(self.ids)
+        self.names += names
+        self.skips += skips
+        self.ids += ids
+        if len(self.ids) > len(self.steps):
+            more = np.zeros(len(self.ids), dtype=np.int64)
+            self.steps, self.used = np.concatenate([self.steps, more]), np.concatenate([self.used, more])
+        self.steps[n : len(self.ids)] = steps
+
+    def pruned(self, most: int) -> Tree:
+        """A tree of the nodes used most, ``most`` at most; a node is used as often as any below it."""
+        n = len(self.ids)
+        used = self.used[:n]
+        least = 1 + int(np.partition(used, n - 1 - most)[n - 1 - most]) if most < n else 0
+        keep = np.flatnonzero(used >= least)
+        to = np.full(n, -1, dtype=np.int64)
+        to[keep] = np.arange(len(keep))
+        to = to.tolist()
+        out = Tree()
+        some = keep.tolist()
+        out.add([self.names[k] for k in some], [self.skips[k] for k in some], [self.ids[k] for k in some], self.steps[keep])
+        out.used[: len(keep)] = used[keep] // 2
+        out.words = {w: to[k] for w, k in self.words.items() if to[k] >= 0}
+        out.below = {to[k >> 8] << 8 | k & 255: to[x] for k, x in self.below.items() if to[x] >= 0}
+        return out
 
 
 class PieceCoder:
     """Encoder and decoder of one vocabulary and one dropout."""
 
+    #: Longer words have heaps. Any other's agenda has less than 3 * LONG steps, as each merge adds two candidates at most.
     LONG = 48
 
-    def __init__(self, path: str, dropout: Dropout = Dropout(), keep: int = 120_000):
+    def __init__(self, path: str, dropout: Dropout = Dropout(), keep: int = 200_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.dropout, self.keep = dropout, keep
         n = sp.get_piece_size()
@@ -77,9 +123,11 @@ class PieceCoder:
         pairs.sort()
         self.pair_keys = np.array([a for a, _ in pairs], dtype=np.int64)
         self.pair_ids = np.array([b for _, b in pairs], dtype=np.int64)
-        self.limit = min(2**64 - 1, int(max(0.0, dropout.p) * 2**64))
-        self.new: dict[tuple[str, int], bytes] = {}
-        self.old: dict[tuple[str, int], bytes] = {}
+        # Entry k: a draw below it skips none of the first k + 1 steps.
+        stay = [max(0.0, 1.0 - max(0.0, dropout.p)) ** (k + 1) for k in range(3 * self.LONG)]
+        self.stay = np.array([min(2**64 - 1, int(x * 2**64)) for x in reversed(stay)], dtype=_U)
+        self.drops = dropout.p > 0
+        self.tree = Tree()
 
     @classmethod
     def shared(cls, path: str, dropout: Dropout) -> PieceCoder:
@@ -88,11 +136,14 @@ class PieceCoder:
             made[path, dropout] = cls(path, dropout)
         return made[path, dropout]
 
-    def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(f"{self.dropout.seed}:{variant}:{word}")
+    def _keys(self, draws: np.ndarray) -> np.ndarray:
+        """Keys of occurrences from their numbers."""
+        return mix(_U(xxhash.xxh64_intdigest(f"{self.dropout.seed}")) ^ mix(draws))
 
-    def _skipped(self, key: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        return mix(key ^ mix((place.astype(_U) << _U(24)) + piece.astype(_U))) < _U(self.limit)
+    def _due(self, key: np.ndarray, at: np.ndarray | int, drawn: int) -> np.ndarray:
+        """The step to skip next, from step ``at`` on; ``at + 3 * LONG`` means none before. ``drawn`` counts the draws before."""
+        draw = mix(key + mix(np.array([drawn], dtype=_U)))
+        return at + (len(self.stay) - np.searchsorted(self.stay, draw, side="right"))
 
     def _fallback(self, symbols: list[int], chars: list[str]) -> bytes:
         """Ids of symbols, with the bytes of the characters that are none."""
@@ -101,13 +152,17 @@ class PieceCoder:
             out += [s] if s >= 0 else [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")]
         return np.array(out, dtype="<u4").tobytes()
 
-    def heap_word(self, word: str, variant: int) -> bytes:
-        """One word by a heap."""
+    def heap_word(self, word: str, draw: int) -> bytes:
+        """One occurrence of a word by a heap; ``draw`` is its number."""
+        return self._heap(word, self._keys(np.array([draw], dtype=_U)))
+
+    def _heap(self, word: str, key: np.ndarray) -> bytes:
         ids: list[int] = [self.piece.get(c, -1) for c in word]
         text = list(word)
         prev, nxt = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
         alive = [True] * len(ids)
-        key = np.array([self._key(word, variant)], dtype=_U)
+        step, drawn, start = -1, 0, 0
+        due = int(self._due(key, 0, 0)[0]) if self.drops else -1
         agenda: list[tuple[float, int, int, int, int]] = []
 
         def add(a: int) -> None:
@@ -122,7 +177,13 @@ class PieceCoder:
             b = nxt[a]
             if not alive[a] or b >= len(ids) or ids[a] != left or ids[b] != right:
                 continue
-            if self._skipped(key, np.array([a]), np.array([k]))[0]:
+            step += 1
+            skip = False
+            while step == due and not skip:
+                skip = due - start < len(self.stay)
+                drawn, start = drawn + 1, due + skip
+                due = int(self._due(key, start, drawn)[0])
+            if skip:
                 continue
             ids[a], text[a] = k, text[a] + text[b]
             alive[b] = False
@@ -140,11 +201,14 @@ class PieceCoder:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_ids[at], -1)
 
-    def lockstep(self, words: list[tuple[str, int]]) -> list[bytes]:
-        """Words of like length, all agendas at once."""
-        m, width = len(words), max(len(w) for w, _ in words)
-        codes = np.frombuffer("".join(w.ljust(width, "\n") for w, _ in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, width)
-        size = np.array([len(w) for w, _ in words])
+    def _agendas(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words of like length with the given steps skipped, and the steps of each; all agendas at once."""
+        m, width = len(words), max(map(len, words))
+        most = max(map(len, skips))
+        skipped = np.array([x + (-1,) * (most - len(x)) for x in skips], dtype=np.int64).reshape(m, most)
+        steps = np.zeros(m, dtype=np.int64)
+        codes = np.frombuffer("".join(w.ljust(width, "\n") for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, width)
+        size = np.array([len(w) for w in words])
         place = np.arange(width)
         alive = place[None, :] < size[:, None]
         # One column more stands for both ends; nothing merges with it.
@@ -154,19 +218,21 @@ class PieceCoder:
         nxt = np.where(place[None, :] + 1 < size[:, None], place[None, :] + 1, width)
         nxt = np.concatenate([nxt, np.full((m, 1), width)], axis=1)
         prev = np.concatenate([np.broadcast_to(np.where(place > 0, place - 1, width), (m, width)), np.full((m, 1), width)], axis=1)
-        key = np.array([self._key(*w) for w in words], dtype=_U)
         made = np.full((m, width + 1), -1, dtype=np.int64)
         made[:, :width] = self._merged(ids[:, :width], np.take_along_axis(ids, nxt[:, :width], 1))
         value = np.where(made >= 0, self.score[made], -np.inf)
         live = np.arange(m)
+        step = -1
         while len(live):
+            step += 1
             at = value[live].argmax(1)
             go = value[live, at] > -np.inf
             live, at = live[go], at[go]
             if not len(live):
                 break
             piece = made[live, at]
-            skip = self._skipped(key[live], at, piece)
+            steps[live] += 1
+            skip = (skipped[live] == step).any(1)
             value[live[skip], at[skip]] = -np.inf
             r, a, piece = live[~skip], at[~skip], piece[~skip]
             b = nxt[r, a]
@@ -188,44 +254,85 @@ class PieceCoder:
         out = [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
         for k in np.flatnonzero((alive & (ids < 0)).any(1)):
             some = np.flatnonzero(alive[k])
-            out[k] = self._fallback(ids[k, some].tolist(), [words[k][0][j] for j in some])  # what has no piece is one character
-        return out
-
-    def _learn(self, need: list[tuple[str, int]]) -> None:
-        need.sort(key=lambda w: len(w[0]))
+            out[k] = self._fallback(ids[k, some].tolist(), [words[k][j] for j in some])  # what has no piece is one character
+        return out, steps
+
+    def _learn(self, names: list[str], skips: list[tuple[int, ...]]) -> np.ndarray:
+        """New nodes of the tree, their numbers in the order given."""
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        order = np.argsort(size, kind="stable")
+        first = len(self.tree.ids)
         at = 0
-        while at < len(need):
-            if len(need[at][0]) > self.LONG:
-                self.new[need[at]] = self.heap_word(*need[at])
-                at += 1
-                continue
-            end = at
-            while end < len(need) and end < at + 5000 and len(need[end][0]) <= min(self.LONG, max(6, len(need[at][0]) * 5 // 4)):
-                end += 1
-            self.new.update(zip(need[at:end], self.lockstep(need[at:end]), strict=True))
+        while at < len(order):
+            most = max(6, int(size[order[at]]) * 5 // 4)
+            end = min(at + 5000, int(np.searchsorted(size, most, side="right", sorter=order)))
+            some = order[at:end].tolist()
+            words, steps = [names[k] for k in some], [skips[k] for k in some]
+            self.tree.add(words, steps, *self._agendas(words, steps))
             at = end
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = np.arange(first, first + len(order))
+        return out
+
+    def _reached(self, words: list[str], key: np.ndarray) -> np.ndarray:
+        """The node of each occurrence; nodes that are not yet in the tree are learnt."""
+        tree = self.tree
+        new = sorted(set(words).difference(tree.words))
+        if new:
+            tree.words.update(zip(new, self._learn(new, [()] * len(new)).tolist(), strict=True))
+        node = np.fromiter(map(tree.words.__getitem__, words), np.int64, len(words))
+        live = np.arange(len(words))
+        due = np.zeros(len(words), dtype=np.int64)
+        drawn = 0
+        while len(live):
+            n = len(tree.ids)
+            tree.used[:n] += np.bincount(node[live], minlength=n)
+            if not self.drops:
+                break
+            due[live] = self._due(key[live], due[live], drawn)
+            live = live[due[live] < tree.steps[node[live]]]
+            ways, which = np.unique(node[live] << 8 | due[live], return_inverse=True)
+            new = [w for w in ways.tolist() if w not in tree.below]
+            if new:
+                made = self._learn([tree.names[w >> 8] for w in new], [(*tree.skips[w >> 8], w & 255) for w in new])
+                tree.below.update(zip(new, made.tolist(), strict=True))
+            node[live] = np.fromiter(map(tree.below.__getitem__, ways.tolist()), np.int64, len(ways))[which]
+            due[live] += 1
+            drawn += 1
+        return node
+
+    def _ids(self, words: list[str], numbers: np.ndarray) -> list[bytes]:
+        """Ids of each occurrence of a word; its number decides its skips."""
+        key = self._keys(numbers)
+        if len(self.tree.ids) > self.keep:
+            self.tree = self.tree.pruned(self.keep // 2)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        long = np.flatnonzero(size > self.LONG)
+        if not len(long):
+            return list(map(self.tree.ids.__getitem__, self._reached(words, key).tolist()))
+        short = np.flatnonzero(size <= self.LONG)
+        out = [b""] * len(words)
+        for k, node in zip(short.tolist(), self._reached([words[k] for k in short.tolist()], key[short]).tolist(), strict=True):
+            out[k] = self.tree.ids[node]
+        for k in long.tolist():
+            out[k] = self._heap(words[k], key[k : k + 1])
+        return out
+
+    def lockstep(self, words: list[tuple[str, int]]) -> list[bytes]:
+        """Occurrences of words, each with its number, by the tree."""
+        return self._ids([w for w, _ in words], np.array([n for _, n in words], dtype=_U))
 
     def encode(self, rows: list[tuple[int | None, str]]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit; a row's number chooses its words' variants."""
-        split: list[list[tuple[str, int]]] = []
-        need: set[tuple[str, int]] = set()
-        v = self.dropout.variants if self.limit else 1
+        """Ids of each text as little-endian 32-bit; a row's number and a word's place decide the word's skips."""
+        words: list[str] = []
+        numbers, ends = [np.empty(0, dtype=_U)], [0]
         for number, text in rows:
-            words = WORDS.findall(" " + text) if text else []
-            start = _U(xxhash.xxh64_intdigest(f"{self.dropout.seed}/{number}"))
-            draws = (mix(start + np.arange(len(words), dtype=_U)) % _U(v)).tolist() if v > 1 else [0] * len(words)
-            split.append(list(zip(words, draws, strict=True)))
-            need.update(split[-1])
-        if len(self.new) > self.keep:
-            self.old, self.new = self.new, {}
-        need.difference_update(self.new)
-        again = [w for w in need if w in self.old]
-        for w in again:
-            self.new[w] = self.old[w]
-        need.difference_update(again)
-        self._learn(list(need))
-        get = self.new.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            some = WORDS.findall(" " + text) if text else []
+            words += some
+            ends.append(len(words))
+            numbers.append(_U(xxhash.xxh64_intdigest(f"{number}")) + np.arange(len(some), dtype=_U))
+        ids = self._ids(words, np.concatenate(numbers))
+        return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; one blank that encoding puts first is taken off."""
@@ -246,7 +353,7 @@ def _slices(n: int, sizes: Iterator[int], most: int = 2_000_000) -> Iterator[tup
 
 
 def encoded(text: Column, number: Column, path: str, dropout: Dropout = Dropout()) -> Column:
-    """Binary ids (little-endian 32-bit) of each text; ``number`` chooses the variants of the row's words.
+    """Binary ids (little-endian 32-bit) of each text; ``number`` decides the skips in the row's words.
 
     A null text gives null, an empty one no ids. Rows of equal text and number get equal ids; a null number is
     a number of its own.

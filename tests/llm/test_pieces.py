@@ -54,3 +54,28 @@ def test_query(spark, sf_dir):
     rows = df.select("text", pieces.encoded(F.col("text"), F.col("doc_id"), PATH).alias("ids")).withColumn("back", pieces.decoded(F.col("ids"), PATH)).collect()
     assert all(r.back == r.text for r in rows) and rows[1].ids == rows[2].ids and rows[0].ids is None
     assert df.limit(0).select(pieces.encoded(F.col("text"), F.col("doc_id"), PATH)).count() == 0
+
+
+def test_every_occurrence_has_its_own_skips():
+    word = " international"
+    coder = pieces.PieceCoder(PATH, pieces.Dropout(0.1))
+    plain = pieces.PieceCoder(PATH, pieces.Dropout(0.0))
+    places = 20_000
+    ids = coder.lockstep([(word, n) for n in range(places)])
+    steps = int(plain.tree.steps[plain._reached([word], np.zeros(1, dtype=np.uint64))[0]])
+    same = ids.count(plain.lockstep([(word, 0)])[0])
+    # The agenda without a skip has ``steps`` steps, and some with skips end in the same pieces.
+    assert 0.9**steps * 0.95 < same / places < 0.9**steps + 0.5 * (1 - 0.9**steps)
+    assert len(set(ids)) > 20
+    assert ids[:200] == [coder.heap_word(word, n) for n in range(200)]
+    # The word at any place of one row, and the same row again in another batch.
+    row = coder.encode([(7, word * 500)])[0]
+    assert len({x for x in (coder.encode([(k, word)])[0] for k in range(300))}) > 8
+    assert row == pieces.PieceCoder(PATH, pieces.Dropout(0.1), keep=3).encode([(3, "x y"), (7, word * 500)])[1]
+
+
+def test_long_words_skip_by_place():
+    coder = pieces.PieceCoder(PATH, pieces.Dropout(0.1))
+    word = "representation" * 30
+    ids = [coder.encode([(k, word)])[0] for k in range(20)]
+    assert len(set(ids)) == 20 and all(coder.decode(x) == word for x in ids)
