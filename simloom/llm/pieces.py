@@ -94,7 +94,7 @@ class PieceCoder:
     #: Longer words have heaps. Any other's agenda has less than 3 * LONG steps, as each merge adds two candidates at most.
     LONG = 48
 
-    def __init__(self, path: str, dropout: Dropout = Dropout(), keep: int = 200_000):
+    def __init__(self, path: str, dropout: Dropout = Dropout(), keep: int = 150_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.dropout, self.keep = dropout, keep
         n = sp.get_piece_size()
@@ -114,7 +114,7 @@ class PieceCoder:
                 self.piece[text] = k
                 self.score[k] = sp.get_score(k)
                 self.bytes_of[k] = text.encode()
-        self.char = np.full(0x110000, -1, dtype=np.int64)
+        self.char = np.full(0x110000, -1, dtype=np.int32)
         pairs = []
         for text, k in self.piece.items():
             if len(text) == 1:
@@ -122,7 +122,10 @@ class PieceCoder:
             pairs += [(self.piece[text[:c]] << 32 | self.piece[text[c:]], k) for c in range(1, len(text)) if text[:c] in self.piece and text[c:] in self.piece]
         pairs.sort()
         self.pair_keys = np.array([a for a, _ in pairs], dtype=np.int64)
-        self.pair_ids = np.array([b for _, b in pairs], dtype=np.int64)
+        self.pair_ids = np.array([b for _, b in pairs], dtype=np.int32)
+        self._table()
+        # Scores as small numbers in the same order, equal ones equal.
+        self.rank = np.unique(self.score, return_inverse=True)[1].astype(np.int32)
         # Entry k: a draw below it skips none of the first k + 1 steps.
         stay = [max(0.0, 1.0 - max(0.0, dropout.p)) ** (k + 1) for k in range(3 * self.LONG)]
         self.stay = np.array([min(2**64 - 1, int(x * 2**64)) for x in reversed(stay)], dtype=_U)
@@ -197,58 +200,82 @@ class PieceCoder:
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_ids[at], -1)
+        key = left.astype(np.int64) << 32 | right
+        at = self._slot(key)
+        found = self.slots[at]
+        out = np.where((found >= 0) & (self.pair_keys[found] == key), self.pair_ids[found], -1)
+        todo = np.flatnonzero((found >= 0) & (out < 0) & (left >= 0) & (right >= 0))
+        while len(todo):
+            at = (at if len(at) == len(todo) else at[todo]) + 1 & len(self.slots) - 1
+            found, some = self.slots[at], key[todo]
+            out[todo] = np.where((found >= 0) & (self.pair_keys[found] == some), self.pair_ids[found], -1)
+            more = (found >= 0) & (out[todo] < 0)
+            at, todo = at[more], todo[more]
+        return out
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _table(self) -> None:
+        """An open hash table of the pairs, at most an eighth full."""
+        self.slots = np.full(1 << (8 * max(1, len(self.pair_keys))).bit_length(), -1, dtype=np.int32)
+        todo, at = np.arange(len(self.pair_keys)), self._slot(self.pair_keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            rest = self.slots[at] != todo
+            todo, at = todo[rest], at[rest] + 1 & len(self.slots) - 1
 
     def _agendas(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
-        """Ids of words of like length with the given steps skipped, and the steps of each; all agendas at once."""
+        """Ids of words of like length with the given steps skipped, and the steps of each; all agendas at once.
+
+        Arrays have a row for each place and a column for each word; places are told by their number in the flat
+        array. The last row stands for both ends; nothing merges with it.
+        """
         m, width = len(words), max(map(len, words))
         most = max(map(len, skips))
-        skipped = np.array([x + (-1,) * (most - len(x)) for x in skips], dtype=np.int64).reshape(m, most)
+        skipped = np.array([x + (-1,) * (most - len(x)) for x in skips], dtype=np.int16).reshape(m, most).T
         steps = np.zeros(m, dtype=np.int64)
-        codes = np.frombuffer("".join(w.ljust(width, "\n") for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, width)
-        size = np.array([len(w) for w in words])
-        place = np.arange(width)
-        alive = place[None, :] < size[:, None]
-        # One column more stands for both ends; nothing merges with it.
-        ids = np.full((m, width + 1), -1, dtype=np.int64)
-        ids[:, :width] = np.where(alive, self.char[codes], -1)
-        alive = np.concatenate([alive, np.zeros((m, 1), dtype=bool)], axis=1)
-        nxt = np.where(place[None, :] + 1 < size[:, None], place[None, :] + 1, width)
-        nxt = np.concatenate([nxt, np.full((m, 1), width)], axis=1)
-        prev = np.concatenate([np.broadcast_to(np.where(place > 0, place - 1, width), (m, width)), np.full((m, 1), width)], axis=1)
-        made = np.full((m, width + 1), -1, dtype=np.int64)
-        made[:, :width] = self._merged(ids[:, :width], np.take_along_axis(ids, nxt[:, :width], 1))
-        value = np.where(made >= 0, self.score[made], -np.inf)
-        live = np.arange(m)
+        codes = np.frombuffer("".join(w.ljust(width, "\n") for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, width).T
+        size = np.fromiter(map(len, words), np.int32, m)
+        place, word = np.arange(width + 1, dtype=np.int32)[:, None], np.arange(m, dtype=np.int32)
+        end = width * m + word
+        alive = place < size
+        ids = np.full((width + 1, m), -1, dtype=np.int32)
+        ids[:width] = np.where(alive[:width], self.char[codes], -1)
+        nxt = np.where(place + 1 < size, (place + 1) * m + word, end).ravel()
+        prev = np.where(place > 0, (place - 1) * m + word, end).ravel()
+        alive, ids = alive.ravel(), ids.ravel()
+        made = self._merged(ids, ids[nxt])
+        # What is taken next is the greatest value of a column: by score, then by place.
+        late = (255 - np.repeat(place.ravel(), m)).astype(np.int32)
+        value = np.where(made >= 0, self.rank[made] << 8 | late, -1)
+        columns = value.reshape(width + 1, m)
         step = -1
-        while len(live):
+        while True:
             step += 1
-            at = value[live].argmax(1)
-            go = value[live, at] > -np.inf
-            live, at = live[go], at[go]
-            if not len(live):
+            best = columns.max(0)
+            go = np.flatnonzero(best >= 0)
+            if not len(go):
                 break
-            piece = made[live, at]
-            steps[live] += 1
-            skip = (skipped[live] == step).any(1)
-            value[live[skip], at[skip]] = -np.inf
-            r, a, piece = live[~skip], at[~skip], piece[~skip]
-            b = nxt[r, a]
-            ids[r, a] = piece
-            alive[r, b] = False
-            value[r, b] = -np.inf
-            after = nxt[r, b]
-            nxt[r, a] = after
-            inside = after < width
-            prev[r[inside], after[inside]] = a[inside]
-            before = prev[r, a]
-            for x in (before, a):
-                k = self._merged(ids[r, x], ids[r, nxt[r, x]])
-                k = np.where((x < width) & (nxt[r, x] < width), k, -1)
-                made[r, x] = k
-                value[r, x] = np.where(k >= 0, self.score[k], -np.inf)
+            steps[go] += 1
+            a = (255 - (best[go] & 255)) * m + go
+            if most:
+                skip = (skipped[:, go] == step).any(0)
+                value[a[skip]] = -1
+                a = a[~skip]
+            b = nxt[a]
+            ids[a] = made[a]
+            alive[b] = False
+            value[b] = -1
+            after = nxt[b]
+            nxt[a] = after
+            prev[after] = a
+            x = np.concatenate([prev[a], a])
+            k = self._merged(ids[x], ids[nxt[x]])
+            made[x] = k
+            value[x] = np.where(k >= 0, self.rank[k] << 8 | late[x], -1)
+        alive, ids = alive.reshape(width + 1, m).T, ids.reshape(width + 1, m).T
         flat = ids[alive].astype("<u4").tobytes()
         ends = 4 * np.cumsum(alive.sum(1))
         out = [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
@@ -306,17 +333,17 @@ class PieceCoder:
         key = self._keys(numbers)
         if len(self.tree.ids) > self.keep:
             self.tree = self.tree.pruned(self.keep // 2)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        long = np.flatnonzero(size > self.LONG)
-        if not len(long):
-            return list(map(self.tree.ids.__getitem__, self._reached(words, key).tolist()))
-        short = np.flatnonzero(size <= self.LONG)
-        out = [b""] * len(words)
-        for k, node in zip(short.tolist(), self._reached([words[k] for k in short.tolist()], key[short]).tolist(), strict=True):
-            out[k] = self.tree.ids[node]
-        for k in long.tolist():
-            out[k] = self._heap(words[k], key[k : k + 1])
-        return out
+        long = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) > self.LONG)
+        short, some = np.ones(len(words), dtype=bool), words
+        short[long] = False
+        if len(long):
+            some = [w for w, x in zip(words, short.tolist(), strict=True) if x]
+        node = np.empty(len(words), dtype=np.int64)
+        node[short] = self._reached(some, key[short])
+        # Long words have heaps of their own, and numbers after all nodes of the tree.
+        node[long] = len(self.tree.ids) + np.arange(len(long))
+        ids = self.tree.ids + [self._heap(words[k], key[k : k + 1]) for k in long.tolist()] if len(long) else self.tree.ids
+        return list(map(ids.__getitem__, node.tolist()))
 
     def lockstep(self, words: list[tuple[str, int]]) -> list[bytes]:
         """Occurrences of words, each with its number, by the tree."""
@@ -360,15 +387,35 @@ def encoded(text: Column, number: Column, path: str, dropout: Dropout = Dropout(
     """
 
     @F.arrow_udf("binary")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for _, ids in _coded(PieceCoder.shared(path, dropout), batches):
+            yield pa.array(ids, pa.binary())
+
+    return run(text.cast("string"), number.cast("long"))
+
+
+def _coded(coder: PieceCoder, batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[list[str | None], list[bytes | None]]]:
+    """Texts and their ids, a bounded stretch of a batch at a time."""
+    for texts, numbers in batches:
+        for a, b in _slices(len(texts), (len(x.as_buffer()) if x.is_valid else 0 for x in texts)):
+            some = texts.slice(a, b - a).to_pylist()
+            ids = coder.encode([(n, x or "") for n, x in zip(numbers.slice(a, b - a).to_pylist(), some, strict=True)])
+            yield some, [None if x is None else y for x, y in zip(some, ids, strict=True)]
+
+
+def round_trip(text: Column, number: Column, path: str, dropout: Dropout = Dropout()) -> Column:
+    """``struct<ids binary, text string>``: what ``encoded`` gives, and what ``decoded`` makes of it, by one coder.
+
+    Both fields are null for a null text. A worker needs the vocabulary's tables once, and not for each of two
+    functions.
+    """
+
+    @F.arrow_udf("ids binary, text string")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         coder = PieceCoder.shared(path, dropout)
-        for texts, numbers in batches:
-            out: list[bytes | None] = []
-            for a, b in _slices(len(texts), (len(x.as_buffer()) if x.is_valid else 0 for x in texts)):
-                some = texts.slice(a, b - a).to_pylist()
-                ids = coder.encode([(n, x or "") for n, x in zip(numbers.slice(a, b - a).to_pylist(), some, strict=True)])
-                out += [None if x is None else y for x, y in zip(some, ids, strict=True)]
-            yield pa.array(out, pa.binary())
+        for _, ids in _coded(coder, batches):
+            back = [None if x is None else coder.decode(x) for x in ids]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=["ids", "text"])
 
     return run(text.cast("string"), number.cast("long"))
 

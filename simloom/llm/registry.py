@@ -224,7 +224,6 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document under merge-dropout, by number and digest, and the digest of what they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    ids = docs.select("doc_id", "text", pieces.encoded(F.coalesce("text", F.lit("")), F.col("doc_id"), path).alias("ids"))
-    back = ids.withColumn("back", pieces.decoded(F.col("ids"), path))
-    lossless = F.col("back") == F.coalesce("text", F.lit(""))
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("back", 256).alias("decoded_sha256"), lossless.alias("lossless"))
+    both = docs.select("doc_id", "text", pieces.round_trip(F.coalesce("text", F.lit("")), F.col("doc_id"), path).alias("made"))
+    lossless = F.col("made.text") == F.coalesce("text", F.lit(""))
+    return both.select("doc_id", (F.octet_length("made.ids") / 4).cast("long").alias("n_pieces"), F.crc32("made.ids").alias("ids_crc32"), F.sha2("made.text", 256).alias("decoded_sha256"), lossless.alias("lossless"))
