@@ -5,14 +5,15 @@ it greedily into phrases, each the longest match with any place of the sample. F
 sample predicts the text better: phrases * log2(sample length) / text length estimates the cross entropy in
 bits a letter. The language with the least estimate wins.
 
-All texts of a batch walk their automata in lock step: texts are laid out in blocks of a fixed length and one
-numpy gather moves every block on by a letter. A block's end ends a phrase; each text is parsed whole.
+Automata are sparse: the transitions of one are a hash table, so every letter of the samples takes part, however
+many there are. All texts of a batch walk an automaton in lock step. Long texts are laid out in blocks that are
+parsed at once, each as if a phrase began with it; then the state in which a block ends goes on into the next one
+until both walks are in the same state, from where they are one. So the parse is that of the whole text.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,11 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the sample: rows a language, letters of a row, letters a language; symbols of the alphabet."""
+    """Bounds of the sample: rows a language, letters of a row, letters a language."""
 
     rows: int = 64
     row_chars: int = 8192
     chars: int = 24_000
-    symbols: int = 200
 
 
 def plain(text: str) -> str:
@@ -96,35 +96,76 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+class Automaton:
+    """A suffix automaton whose transitions are an open hash table; states and symbols are numbers, -1 is no state."""
+
+    def __init__(self, symbols: list[int], width: int):
+        nxt = suffix_automaton(symbols)
+        self.width = width
+        edges = [(k * width + c, q) for k, ways in enumerate(nxt) for c, q in ways.items() if c >= 0]
+        self.kind = np.int32 if len(nxt) * width < 2**31 else np.int64
+        keys = np.array([a for a, _ in edges], dtype=self.kind)
+        self.mask = (1 << max(4, (3 * len(edges)).bit_length())) - 1
+        self.keys = np.full(self.mask + 1, -1, dtype=self.kind)
+        self.to = np.full(self.mask + 1, -1, dtype=np.int32)
+        todo, at = np.arange(len(keys)), self._slot(keys)
+        to = np.array([q for _, q in edges], dtype=np.int32)
+        while len(todo):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[todo[free]]
+            mine = self.keys[at] == keys[todo]
+            self.to[at[mine]] = to[todo[mine]]
+            todo, at = todo[~mine], at[~mine] + 1 & self.mask
+        self.root = np.full(width, -1, dtype=np.int32)
+        for c, q in nxt[0].items():
+            if c >= 0:
+                self.root[c] = q
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        if self.kind is np.int32:
+            return ((keys.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.mask.bit_length())).astype(np.intp)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.mask.bit_length())).astype(np.intp)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The state of each walk after a symbol, or -1."""
+        want = state.astype(self.kind) * self.kind(self.width) + symbol
+        at = self._slot(want)
+        have = self.keys.take(at)
+        out = np.where(have == want, self.to.take(at), np.int32(-1))
+        miss = np.flatnonzero((have != want) & (have >= 0))
+        while len(miss):
+            at[miss] = at[miss] + 1 & self.mask
+            have = self.keys[at[miss]]
+            hit = have == want[miss]
+            out[miss[hit]] = self.to[at[miss[hit]]]
+            miss = miss[~hit & (have >= 0)]
+        return out
+
+    def one(self) -> dict[int, int]:
+        """All transitions as a dictionary, for a walk of one text."""
+        some = np.flatnonzero(self.keys >= 0)
+        return dict(zip(self.keys[some].tolist(), self.to[some].tolist(), strict=True))
+
+
 class CrossParser:
-    """The automata of all languages as flat tables, and the parse of texts against them."""
+    """The automata of all languages, and the parse of texts against them."""
 
     BLOCK = 512
-    SPACE, STRANGE, PAD = 0, 1, 2
+    #: Rounds in which blocks go on from the ones before in lock step; what is not settled then is walked text by text.
+    ROUNDS = 4
+    SPACE, STRANGE = 0, 1
 
-    def __init__(self, samples: dict[str, str], symbols: int = 200):
+    def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        freq = Counter(c for k in self.langs for c in samples[k] if c.isalpha())
-        letters = sorted(sorted(freq), key=lambda c: -freq[c])[:symbols]
-        self.width = width = len(letters) + 3
-        code = {c: k + 3 for k, c in enumerate(letters)} | {" ": self.SPACE}
-        # Of every code point: a letter of the alphabet, another letter, or anything else.
-        self.symbol = np.array([self.STRANGE if chr(c).isalpha() else self.SPACE for c in range(0x110000)], dtype=np.uint8)
+        letters = sorted({c for k in self.langs for c in samples[k] if c.isalpha()})
+        self.width = width = len(letters) + 2
+        code = {c: k + 2 for k, c in enumerate(letters)} | {" ": self.SPACE}
+        # Of every code point: a letter of some sample, another letter, or anything else.
+        self.symbol = np.array([self.STRANGE if chr(c).isalpha() else self.SPACE for c in range(0x110000)], dtype=np.int32)
         for c, k in code.items():
             self.symbol[ord(c)] = k
-        self.tables, self.scale = [], []
-        for lang in self.langs:
-            nxt = suffix_automaton([code.get(c, -1) for c in samples[lang]])
-            # Row 0 has no way on; row 1 is the dead end after a strange letter; state k is row k + 2.
-            table = np.zeros((len(nxt) + 2, width), dtype=np.int32)
-            for k, ways in enumerate(nxt):
-                for c, q in ways.items():
-                    if c >= 0:
-                        table[k + 2, c] = (q + 2) * width
-            table[2] = np.where(table[2] == 0, width, table[2])
-            table[:, self.PAD] = np.arange(len(nxt) + 2, dtype=np.int32) * width
-            self.tables.append(table.ravel())
-            self.scale.append(math.log2(max(2, len(samples[lang]))))
+        self.automata = [Automaton([code.get(c, -1) for c in samples[lang]], width) for lang in self.langs]
+        self.scale = [math.log2(max(2, len(samples[lang]))) for lang in self.langs]
 
     @classmethod
     def shared(cls, samples: dict[str, str]) -> CrossParser:
@@ -149,33 +190,125 @@ class CrossParser:
         size = np.array([len(s) for s in seqs], dtype=np.int64)
         blocks = (size + self.BLOCK - 1) // self.BLOCK
         first = np.cumsum(blocks) - blocks
-        grid = np.full(int(blocks.sum()) * self.BLOCK, self.PAD, dtype=np.uint8)
-        for s, at in zip(seqs, first, strict=True):
-            grid[at * self.BLOCK : at * self.BLOCK + len(s)] = s
-        grid = grid.reshape(-1, self.BLOCK)
-        order = np.argsort(-(grid != self.PAD).sum(1), kind="stable")  # short blocks drop out at the end
-        used = (grid != self.PAD).sum(1)[order]
-        steps = np.ascontiguousarray(grid[order].T).astype(np.int32)
-        owner = np.repeat(np.arange(len(texts)), blocks)[order]
+        grid = np.zeros((int(blocks.sum()), self.BLOCK), dtype=np.int32)
+        flat = grid.ravel()
+        for s, at in zip(seqs, first.tolist(), strict=True):
+            flat[at * self.BLOCK : at * self.BLOCK + len(s)] = s
+        owner = np.repeat(np.arange(len(texts)), blocks)
+        used = np.minimum(self.BLOCK, size[owner] - (np.arange(len(grid)) - first[owner]) * self.BLOCK)
+        order = np.argsort(-used, kind="stable")  # short blocks drop out at the end
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        steps = np.ascontiguousarray(grid[order].T)
+        grid = None
         out = np.zeros((len(texts), len(self.langs)))
-        live = [int(np.searchsorted(-used, -k, side="left")) for k in range(self.BLOCK)]  # blocks longer than k
-        for k, table in enumerate(self.tables):
-            root = table[2 * self.width : 3 * self.width]
-            state = np.full(len(used), 2 * self.width, dtype=np.int32)
-            count = np.ones(len(used), dtype=np.int32)
-            for at in range(self.BLOCK):
-                n = live[at]
-                if not n:
-                    break
-                c = steps[at, :n]
-                go = table.take(state[:n] + c)
-                stop = np.flatnonzero(go == 0)
-                go[stop] = root.take(c[stop])
-                count[stop] += 1
-                state[:n] = go
-            out[:, k] = np.bincount(owner, weights=count, minlength=len(texts))
+        # The block that a block goes on into, by place in the order; -1 for a text's last.
+        following = np.full(len(order), -1, dtype=np.int64)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        following[place[inner]] = place[inner + 1]
+        used, owner = used[order], owner[order]
+        for k, automaton in enumerate(self.automata):
+            out[:, k] = np.bincount(owner, weights=self._parsed(automaton, steps, used, following), minlength=len(texts))
         return out, size
 
+    def _parsed(self, automaton: Automaton, steps: np.ndarray, used: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block; blocks are columns of ``steps``, longer ones first."""
+        n = len(used)
+        states = np.full(steps.shape, -1, dtype=np.int32)
+        begins = np.zeros(steps.shape, dtype=bool)
+        state = np.full(n, -1, dtype=np.int32)
+        for at in range(self.BLOCK):
+            live = int(np.searchsorted(-used, -at, side="left"))  # blocks longer than ``at``
+            if not live:
+                break
+            c = steps[at, :live]
+            # A letter that is in no phrase is a phrase, and what comes after it begins another one.
+            go = automaton.step(state[:live], c) if at else np.full(live, -1, dtype=np.int32)
+            stop = np.flatnonzero(go < 0)
+            go[stop] = automaton.root.take(c[stop])
+            begins[at, stop] = True
+            states[at, :live] = go
+            state[:live] = go
+        count = begins.sum(0, dtype=np.int64)
+        final = state
+        todo = following[(following >= 0)]
+        before = np.full(n, -1, dtype=np.int64)
+        before[following[following >= 0]] = np.flatnonzero(following >= 0)
+        for _ in range(self.ROUNDS):
+            if not len(todo):
+                return count
+            # Walks of several blocks of one text start from what is known of the block before at that time.
+            todo = self._go_on(automaton, steps, used, states, begins, count, final, todo, before)
+            todo = following[todo]
+            todo = todo[todo >= 0]
+        ways = automaton.one() if len(todo) else {}
+        for block in todo.tolist():
+            while block >= 0 and self._walk(ways, automaton, steps, used, states, begins, count, final, block, before):
+                block = int(following[block])
+        return count
+
+    def _go_on(self, automaton, steps, used, states, begins, count, final, todo, before) -> np.ndarray:
+        """Walk the blocks ``todo`` from the state in which those before end; the ones that end in another state than they did."""
+        todo = np.sort(todo)
+        state = final[before[todo]].copy()
+        new = np.zeros(len(todo), dtype=np.int64)
+        old = np.zeros(len(todo), dtype=np.int64)
+        total = begins[:, todo].sum(0, dtype=np.int64)
+        live = np.arange(len(todo))
+        changed = []
+        for at in range(self.BLOCK):
+            over = used[todo[live]] <= at
+            if over.any():
+                ended = live[over]
+                count[todo[ended]] = new[ended]
+                differs = ended[final[todo[ended]] != state[ended]]
+                final[todo[ended]] = state[ended]
+                changed.append(differs)
+                live = live[~over]
+            if not len(live):
+                break
+            c = steps[at, todo[live]]
+            go = automaton.step(state[live], c)
+            go[state[live] < 0] = -1
+            stop = np.flatnonzero(go < 0)
+            go[stop] = automaton.root.take(c[stop])
+            new[live[stop]] += 1
+            state[live] = go
+            own = todo[live]
+            old[live] += begins[at, own]
+            same = go == states[at, own]
+            met = live[same]
+            count[todo[met]] = new[met] + total[met] - old[met]
+            # The end of a block that was walked before and now meets its own parse is that of its own parse.
+            last = states[used[todo[met]] - 1, todo[met]]
+            changed.append(met[final[todo[met]] != last])
+            final[todo[met]] = last
+            live = live[~same]
+        if len(live):
+            count[todo[live]] = new[live]
+            changed.append(live[final[todo[live]] != state[live]])
+            final[todo[live]] = state[live]
+        return todo[np.concatenate(changed)] if changed else todo[:0]
+
+    def _walk(self, ways, automaton, steps, used, states, begins, count, final, block, before) -> bool:
+        """Walk one block from the state in which that before ends; whether it ends in another state than it did."""
+        state, root, width = int(final[before[block]]), automaton.root, automaton.width
+        column, own = steps[: used[block], block].tolist(), states[: used[block], block].tolist()
+        new = 0
+        was = int(final[block])
+        for at, c in enumerate(column):
+            go = ways.get(state * width + c, -1) if state >= 0 else -1
+            if go < 0:
+                new += 1
+                go = int(root[c])
+            state = go
+            if go == own[at]:
+                count[block] = new + int(begins[at + 1 :, block].sum())
+                final[block] = own[-1]
+                return own[-1] != was
+        count[block], final[block] = new, state
+        return state != was
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and a score: the runner-up's share of both estimates, 1 if there is none."""
         some = [k for k, x in enumerate(texts) if x]
