@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simloom.llm import store
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,7 +43,8 @@ RULES = (
     Rule("assign", rf"({KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # The whole block if nothing but its lines comes before the end mark, else the header.
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\x09-\x0D]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
 )
 
 
@@ -178,19 +181,21 @@ def _evaluated(query: object, lists: dict[str, Column]) -> Column:
 
 #: Documents of a block of the index, about.
 BLOCK = 512
+#: As many candidates are broadcast at most; more are joined by a shuffle.
+FEW = 500_000
 
 
 def candidates(docs: DataFrame, rules: Sequence[Rule], rows: int | None = None) -> DataFrame:
     """``(doc, kinds)``: hash of each document that satisfies the trigram query of some rule, and those rules.
 
-    ``docs(doc, text)``. A block takes about ``BLOCK`` documents of near hashes, whatever the corpus' size,
-    since its number is as many leading bits of the hash as ``rows`` needs.
+    ``docs(doc, text)``; bit k of ``kinds`` stands for rule k. A block takes about ``BLOCK`` documents of near
+    hashes, whatever the corpus' size, since its number is as many leading bits of the hash as ``rows`` needs.
     """
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    queries = {k: trigram_query(r.pattern) for k, r in enumerate(rules)}
     queries = {k: q for k, q in queries.items() if q is not True}
     grams = sorted(set().union(*map(_trigrams, queries.values()))) if queries else []
     if not grams:
-        return docs.select("doc", F.array().cast("array<string>").alias("kinds")).limit(0)
+        return docs.select("doc", F.lit(0).cast("long").alias("kinds")).limit(0)
     bits = max(1, ((docs.count() if rows is None else rows) // BLOCK).bit_length())
     low = docs.select("doc", F.lower("text").alias("text"))
     has = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("text"), g))
@@ -199,27 +204,65 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], rows: int | None = None)
     none = F.array().cast("array<long>")
     blocks = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "docs"))).alias("lists"))
     lists = {g: F.coalesce(F.element_at("lists", g), none) for g in grams}
-    found = F.array(*(F.struct(F.lit(k).alias("kind"), _evaluated(q, lists).alias("docs")) for k, q in queries.items()))
+    found = F.array(*(F.struct(F.lit(1 << k).cast("long").alias("kind"), _evaluated(q, lists).alias("docs")) for k, q in queries.items()))
     hits = blocks.select(F.explode(found).alias("x")).select("x.kind", F.explode("x.docs").alias("doc"))
-    return hits.groupBy("doc").agg(F.collect_set("kind").alias("kinds"))
+    return hits.groupBy("doc").agg(F.bit_or("kind").alias("kinds"))
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each of ``numbers`` (array of long) the sum of those before it.
+
+    Sums are taken in blocks of about the square root of the array's size, and of the blocks before; so the work
+    grows with the size to the power of one and a half, and no array grows by one element at a time.
+    """
+
+    def of(x: Column) -> Column:
+        n, wide = F.size(x["all"]), x["wide"]
+        upto = lambda k: F.filter(F.sequence(F.lit(0), F.greatest(k, F.lit(0))), lambda i: i < k)
+        totals = F.transform(upto(F.ceil(n / wide).cast("int")), lambda b: _total(F.slice(x["all"], b * wide + 1, wide)))
+        heads = _bound(totals, lambda t: F.transform(t, lambda _, b: _total(F.slice(t, F.lit(1), b))))
+
+        def inside(h: Column) -> Column:
+            block = lambda b: F.slice(x["all"], b * wide + 1, wide)
+            return F.flatten(F.transform(h, lambda head, b: _bound(block(b), lambda part: F.transform(part, lambda _, k: head + _total(F.slice(part, F.lit(1), k))))))
+
+        return F.when(n == 0, F.array().cast("array<long>")).otherwise(_bound(heads, inside))
+
+    wide = lambda a: F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int")
+    return _bound(_bound(numbers, lambda a: F.struct(a.alias("all"), F.greatest(wide(a), F.lit(1)).alias("wide"))), of)
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """``array<struct<start, order, end, kind>>`` of the matches that stay, in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
+    group = (lambda m: m) if rule.group == 0 else (lambda m: F.regexp_extract(m, rule.pattern, rule.group))
     # The text is gap, match, gap, match ..., gap: starts are sums of lengths.
-    sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("match")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,order:int,end:long,kind:string>>").alias("out"))
+    sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), (F.length(group(m)) >= rule.least).alias("stays")))
+    whole = F.filter(sizes, lambda x: x["size"].isNotNull())
+
+    def placed(all_: Column) -> Column:
+        before = sums_before(F.transform(all_, lambda x: x["gap"] + x["size"]))
+
+        def one(x: Column, at: Column) -> Column:
+            start = at + x["gap"]
+            return F.when(x["stays"], F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["size"]).alias("end"), F.lit(rule.kind).alias("kind")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        group = x["match"] if rule.group == 0 else F.regexp_extract(x["match"], rule.pattern, rule.group)
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["size"]).alias("end"), F.lit(rule.kind).alias("kind")))
-        keep = x["match"].isNotNull() & (F.length(group) >= rule.least)
-        return F.struct((start + F.coalesce(x["size"], F.lit(0).cast("long"))).alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.array_compact(F.zip_with(all_, before, one))
 
-    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+    return _bound(whole, placed)
+
+
+SPANS = "array<struct<start:long,order:int,end:long,kind:string>>"
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -227,19 +270,18 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
     A null text counts as empty and has no span. Positions are code points of the whole text. Repeated rows are
     scanned each and every column is kept, but a ``spans`` of the input is replaced; an empty table gives no
-    rows.
+    rows. Texts stay where they are while there are few candidates, whose hashes are then broadcast.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
-    found = candidates(keyed.select(F.col("__doc").alias("doc"), text.alias("text")), rules)
-    both = keyed.join(found.withColumnsRenamed({"doc": "__doc", "kinds": "__kinds"}), "__doc", "left")
-    empty = F.array().cast("array<struct<start:long,order:int,end:long,kind:string>>")
+    found = store.save(candidates(keyed.select(F.col("__doc").alias("doc"), text.alias("text")), rules), "candidates")
+    found = found.withColumnsRenamed({"doc": "__doc", "kinds": "__kinds"})
+    both = keyed.join(F.broadcast(found) if found.count() <= FEW else found, "__doc", "left")
     parts = []
     for k, rule in enumerate(rules):
-        spans = spans_of(text, rule, k)
         scanned = trigram_query(rule.pattern) is True
-        wanted = F.rlike(text, F.lit(rule.pattern)) if scanned else F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
-        parts.append(F.when(wanted, spans).otherwise(empty))
+        wanted = F.rlike(text, F.lit(rule.pattern)) if scanned else F.coalesce(F.col("__kinds").bitwiseAND(1 << k) != 0, F.lit(False))
+        parts.append(F.when(wanted, spans_of(text, rule, k)).otherwise(F.array().cast(SPANS)))
     out = both.withColumn("__spans", F.array_sort(F.concat(*parts)))
     return out.select(*(c for c in docs.columns if c != "spans"), F.col("__spans").alias("spans"))
 
@@ -250,13 +292,47 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with each stretch that spans cover replaced by ``mark``; overlapping spans make one stretch."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """``text`` with each stretch that spans cover replaced by ``mark``; spans are sorted, overlapping ones make one stretch.
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, rest))
+    The text is cut into blocks first, so that no stretch is looked for from the text's begin.
+    """
+    ends = lambda s: F.transform(s, lambda x: x["end"])
+
+    def cut(x: Column) -> Column:
+        wide = x["wide"]
+        block = lambda k: F.coalesce(F.get(x["blocks"], k.cast("int")), F.lit(""))
+        inside = lambda k, a, b: F.substr(block(k), (a - k * wide + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+
+        def part(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / wide), F.floor(b / wide)
+            between = F.array_join(F.slice(x["blocks"], (first + 2).cast("int"), F.greatest(last - first - 1, F.lit(0)).cast("int")), "")
+            return F.when(first == last, inside(first, a, b)).otherwise(F.concat(inside(first, a, (first + 1) * wide), between, inside(last, last * wide, b)))
+
+        # A span leads if all spans before it end where it starts, or before. What stands before a leader begins at
+        # the greatest end so far.
+        leaders = _bound(x["upto"], lambda u: F.array_compact(F.zip_with(x["spans"], u, lambda s, e: F.when(s["start"] >= e, F.struct(e.alias("a"), s["start"].alias("b"))))))
+        return F.concat(F.array_join(F.transform(leaders, lambda s: F.concat(part(s["a"], s["b"]), F.lit(mark))), ""), part(F.array_max(ends(x["spans"])), x["n"]))
+
+    def blocks(t: Column) -> Column:
+        n = F.length(t).cast("long")
+        wide = F.greatest(F.lit(4096), 16 * F.ceil(F.sqrt(n.cast("double")))).cast("long")
+        pieces = _bound(wide, lambda w: F.transform(F.sequence(F.lit(0).cast("long"), F.floor(n / w)), lambda k: F.substr(t, (k * w + 1).cast("int"), w.cast("int"))))
+        return F.struct(n.alias("n"), wide.alias("wide"), pieces.alias("blocks"), spans.alias("spans"), greatest_before(ends(spans)).alias("upto"))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_bound(_bound(text, blocks), cut))
+
+
+def greatest_before(numbers: Column) -> Column:
+    """For each of ``numbers`` (array of long, none negative) the greatest of those before it, 0 for the first; in blocks like ``sums_before``."""
+    most = lambda a: F.coalesce(F.array_max(a), F.lit(0).cast("long"))
+
+    def of(x: Column) -> Column:
+        wide = x["wide"]
+        block = lambda b: F.slice(x["all"], b * wide + 1, wide)
+        tops = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x["all"]) / wide).cast("int") - 1), lambda b: most(block(b)))
+        heads = _bound(tops, lambda t: F.transform(t, lambda _, b: most(F.slice(t, F.lit(1), b))))
+        inside = lambda h: F.flatten(F.transform(h, lambda head, b: _bound(block(b), lambda part: F.transform(part, lambda _, k: F.greatest(head, most(F.slice(part, F.lit(1), k)))))))
+        return F.when(F.size(x["all"]) == 0, F.array().cast("array<long>")).otherwise(_bound(heads, inside))
+
+    wide = lambda a: F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int")
+    return _bound(_bound(numbers, lambda a: F.struct(a.alias("all"), F.greatest(wide(a), F.lit(1)).alias("wide"))), of)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from helpers_llm import same
 from pyspark.sql import functions as F
@@ -65,3 +66,42 @@ def test_base_patterns_as_given(spark):
         want = sorted((m.start(), k, m.end(), n) for k, (n, (p, g, least)) in enumerate(given.items()) for m in re.finditer(p, t, re.I if n == "assign" else 0) if len(m[g]) >= least)
         assert [s for s in brute(t) if s[3] != "pem"] == want
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+PEM = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow0aaAB+/=\nabcd==\n-----END RSA PRIVATE KEY-----"
+
+
+def redacted(text):
+    out, at = [], 0
+    for a, _, b, _ in brute(text):
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_against_python(spark):
+    """Whole key blocks go, overlapping spans make one stretch, and blocks of the text leave no mark."""
+    long = "".join(f"é{'x' * (k % 50)} token=abcdef{k} " + ("0a" * 3000 if k % 100 == 0 else "") for k in range(1500))
+    texts = [*TEXTS[2:], f"a {PEM} b", PEM + "token=" + "ab12" * 10, f"-----BEGIN PRIVATE KEY----- no key, but prose. {PEM}", long, "😀" * 9000 + " password=abcdef " + "é" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.scan(df).select("text", secrets.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
+    for r in got:
+        assert r.clean == redacted(r.text), r.text[:60]
+    assert next(r.clean for r in got if r.text == f"a {PEM} b") == "a [secret] b"
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "token=abcdef " * 64_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+    df.count()
+    began = time.time()
+    row = secrets.scan(df).select(F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("end"), F.length(secrets.redacted(F.col("text"), F.col("spans"))).alias("size")).first()
+    assert tuple(row) == (64_000, len(text) - 1, 64_000 * len("[secret] "))
+    assert time.time() - began < 30
+    df.unpersist()
+
+
+def test_many_candidates_are_joined_by_shuffle(spark, monkeypatch, sf_dir):
+    monkeypatch.setattr(secrets, "FEW", 0)
+    same(registry.op5_secret_scans(spark, sf_dir), registry.ORACLES["op5_secret_scans"], sf_dir)
