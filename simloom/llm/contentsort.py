@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from simloom.llm import store
 
@@ -134,9 +135,66 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each run of equal neighbours of a sorted partition its first row; that of the first and last run with an edge.
+
+    Rows come as ``(row, digest, norm)``. One row is held back until its run ends.
+    """
+    part = TaskContext.get().partitionId()
+    held: tuple | None = None
+    runs = 0
+    digest = text = None
+
+    def out(rows: pa.Array, n: int, edges: list[str | None], digests: list[str | None], texts: list[str | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows, pa.array([part] * n, pa.int32()), *(pa.array(c, pa.string()) for c in (edges, digests, texts))], names=["row", "part", "edge", "digest", "edge_text"])
+
+    for batch in batches:
+        rows, digests, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+        starts = []
+        for k in range(len(digests)):
+            if runs and digests[k] == digest and texts[k].as_py() == text:
+                continue
+            runs += 1
+            digest, text = digests[k], texts[k].as_py()
+            starts.append(k)
+            if len(starts) == 1 and held is not None:  # the run that the batches before began has ended
+                first = held[3] == 1
+                yield out(held[0], 1, ["f" if first else None], [held[1] if first else None], [held[2] if first else None])
+                held = None
+        if not starts:
+            continue
+        done, first = starts[:-1], runs - len(starts) == 0
+        if done:
+            lead = [k == 0 and first for k in range(len(done))]
+            yield out(rows.take(pa.array(done)), len(done), ["f" if x else None for x in lead], [digests[k] if x else None for k, x in zip(done, lead, strict=True)], [texts[k].as_py() if x else None for k, x in zip(done, lead, strict=True)])
+        held = (rows.take(pa.array(starts[-1:])), digest, text, runs)
+    if held is not None:
+        yield out(held[0], 1, ["fl" if held[3] == 1 else "l"], [held[1]], [held[2]])
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay after ``dedup``, with all their columns; of rows equal in id and text, one."""
-    key = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__sha": F.sha2(normalised(F.col("text")), 256)})
-    kept = dedup(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    stay = key.join(kept, key["__id"].eqNullSafe(kept["doc_id"]) & (key["__sha"] == kept["text_sha256"]), "left_semi")
-    return stay.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    """The rows of ``docs`` that ``dedup`` keeps, with all their columns.
+
+    Whole rows go through the sort, once. Of rows equal in normalised text, length and id, the one of the least text
+    stays; of rows with the same text as well, one. Columns of any name are kept as they are.
+    """
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.length(text), F.lit(0)).alias("size"), normalised(F.col("text")).alias("norm"))
+    rows = rows.select("row", "id", "size", F.sha2("norm", 256).alias("digest"), F.substring("norm", 1, PREFIX).alias("prefix"))
+    rank = [F.col("size").desc(), F.col("id").asc_nulls_last()]
+    # The normalised text is made again behind the exchange, so that only one form of a text is shuffled.
+    ranged = rows.repartitionByRange("prefix", "digest", *rank).withColumn("norm", normalised(F.col("row.text")))
+    ranged = ranged.sortWithinPartitions("prefix", "digest", "norm", *rank, F.col("row.text").cast("string")).select("row", "digest", "norm")
+    made = StructType([StructField("row", docs.schema), *StructType.fromDDL("part int, edge string, digest string, edge_text string")])
+    found = store.save(ranged.mapInArrow(_leaders, made), "content-sort")
+
+    ends = found.where("edge is not null").select("part", "edge", "digest", "edge_text")
+    parts = sorted({r["part"] for r in ends.select("part").distinct().collect()})
+    after = spark.createDataFrame(list(zip(parts, parts[1:], strict=False)), "part int, next int")
+    a = ends.where(F.col("edge").contains("l")).join(F.broadcast(after), "part")
+    b = ends.where(F.col("edge").contains("f")).select(F.col("part").alias("next"), "digest", "edge_text")
+    linked = [(r["next"],) for r in a.join(b, ["next", "digest", "edge_text"]).select("next").collect()]
+    gone = F.broadcast(spark.createDataFrame(linked, "part int").withColumn("goes_on", F.lit(True)))  # one row a partition at most
+    stay = found.join(gone, "part", "left").where(~F.coalesce(F.col("edge").contains("f") & F.col("goes_on"), F.lit(False)))
+    return stay.select("row.*")
