@@ -88,49 +88,74 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_url(url: str) -> str:
     """Rows ``host, path, node`` of an address, as DuckDB expressions over ``url``."""
-    rest = f"regexp_extract(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END, '^([^?#]*)', 1)"
-    return f"(SELECT translate(regexp_extract({rest}, '^([^/]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract({rest}, '^[^/]*(.*)$', 1) AS path)"
+    rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+    host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}')"
+    return f"""(SELECT host, path, CASE WHEN host = '' THEN '' ELSE host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node
+      FROM (SELECT {host} AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract({rest}, '^[^?#]*(\\?[^#]*)', 1) AS query))"""
 
 
-_SQL_RULES = ", ".join(f"('{r.host}', '{r.path}', {str(r.allow).lower()})" for r in RULES)
-
-ORACLES["op3_url_filters"] = rf"""
+def _sql_verdicts(edges: str) -> str:
+    """The verdicts on all pages as DuckDB SQL; ``edges`` gives rows ``src, dst`` of absolute urls."""
+    canonical, refresh, href, goes_to = (x.replace("'", "''") for x in (urls.CANONICAL, urls.REFRESH, urls.HREF, urls.GOES_TO))
+    return rf"""
 WITH RECURSIVE rules(h, p, allow) AS (VALUES {_SQL_RULES}),
 tags AS (
-  SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS c,
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS m
-  FROM pages WHERE contains(url, '://')
-),
-hrefs AS (
-  SELECT url, trim(regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)) AS href FROM tags
-  UNION ALL
-  SELECT url, trim(regexp_extract(m, '(?is)\burl\s*=\s*["'']?([^"''\s>;]*)', 1)) FROM tags
+  SELECT url, unnest(regexp_extract_all(html, '{canonical}', 0)) AS tag, '{href}' AS p FROM pages WHERE contains(url, '://')
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '{refresh}', 0)), '{goes_to}' FROM pages WHERE contains(url, '://')
 ),
-links AS (
-  SELECT url AS src, CASE WHEN contains(href, '://') THEN href
+hrefs AS (SELECT url, trim(CASE WHEN p = '{href}' THEN regexp_extract(tag, '{href}', 1) ELSE regexp_extract(tag, '{goes_to}', 1) END) AS href FROM tags),
+whole AS (
+  SELECT url AS src, CASE WHEN regexp_matches(href, '^[^/?#]*://') THEN href
     WHEN href LIKE '//%' THEN regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || href
+    WHEN href LIKE '#%' OR regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
     WHEN href LIKE '/%' THEN regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) || href
+    WHEN href LIKE '?%' THEN regexp_extract(url, '^([^:/?#]*://[^?#]*)', 1) || href
     ELSE regexp_replace(regexp_extract(url, '^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)', 1) || '/', '//$', '/') || href END AS dst
   FROM hrefs WHERE href <> ''
 ),
+split AS (SELECT src, regexp_extract(dst, '^([^:/?#]*://[^/?#]*)', 1) AS site, regexp_extract(dst, '^[^:/?#]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(dst, '^[^:/?#]*://[^?#]*(.*)$', 1) AS rest FROM whole WHERE dst IS NOT NULL),
+links AS (
+  SELECT src, site || CASE WHEN regexp_matches(path, '/\.\.?(/|$)') THEN
+    list_reduce(list_prepend('', string_split(substr(path || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END, 2), '/')),
+      lambda acc, x: CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END) ELSE path END || rest AS dst
+  FROM split UNION ALL {edges}
+),
 pairs AS (
-  SELECT s.host || s.path AS a, d.host || d.path AS b FROM links, LATERAL {_sql_url("src")} s, LATERAL {_sql_url("dst")} d
+  SELECT s.node AS a, d.node AS b FROM links, LATERAL {_sql_url("src")} s, LATERAL {_sql_url("dst")} d
 ),
 edges AS (SELECT a, b FROM pairs WHERE a <> '' AND b <> '' UNION SELECT b, a FROM pairs WHERE a <> '' AND b <> ''),
 reach(node, other) AS (SELECT a, a FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
-named AS (SELECT page_id, u.host, u.path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages) q, LATERAL {_sql_url("url")} u),
+named AS (SELECT page_id, u.host, u.path, u.node FROM (SELECT page_id, coalesce(url, '') AS url FROM pages) q, LATERAL {_sql_url("url")} u),
 own AS (
   SELECT *, (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR suffix(host, '.' || h)) AND prefix(path, p)) AS rule FROM named
 ),
+others AS (SELECT node, regexp_extract(other, '^([^/]*)', 1) AS host, regexp_extract(other, '^[^/]*([^?]*)', 1) AS path FROM reach),
 decided AS (
-  SELECT reach.node, bool_or((SELECT arg_max(allow, length(h || p)) FROM rules WHERE (split_part(other, '/', 1) = h OR suffix(split_part(other, '/', 1), '.' || h)) AND prefix(substr(other, length(split_part(other, '/', 1)) + 1), p))) AS allowed
-  FROM reach GROUP BY reach.node
+  SELECT node AS alias, bool_or((SELECT arg_max(allow, length(h || p)) FROM rules WHERE (host = h OR suffix(host, '.' || h)) AND prefix(path, p))) AS allowed
+  FROM others GROUP BY node
 )
 SELECT page_id, host, path, rule, CASE WHEN coalesce((SELECT allow FROM rules WHERE h || p = rule), allowed, true) THEN 'allow' ELSE 'block' END AS verdict
-FROM own LEFT JOIN decided ON node = host || path
+FROM own LEFT JOIN decided ON node = alias
 """
 
 
+_SQL_RULES = ", ".join(f"('{r.host}', '{r.path}', {str(r.allow).lower()})" for r in RULES)
+
+ORACLES["op3_url_filters"] = _sql_verdicts("SELECT NULL, NULL WHERE false")
+
+
+@query
+def url_alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts with redirects between pages: each goes to the page of the id before, but for every fourth."""
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    here = pages.select((F.col("page_id") - 1).alias("next"), F.col("url").alias("src"), "page_id").where("page_id % 4 <> 0")
+    there = pages.select(F.col("page_id").alias("next"), F.col("url").alias("dst"))
+    return urls.judge(pages, RULES, here.join(there, "next").select("src", "dst"))
+
+
+ORACLES["url_alias_verdicts"] = _sql_verdicts("SELECT x.url, y.url FROM pages x JOIN pages y ON y.page_id = x.page_id - 1 WHERE x.page_id % 4 <> 0")
+
+
 @query
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of each embedding among those of a cosine of 0.95 or more."""
@@ -211,14 +236,30 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(rows, "doc_id", F.col("doc_bytes"), SHARD_BYTES)
 
 
-ORACLES["op9_sharding"] = f"""
+def _sql_shards(limit: int) -> str:
+    return f"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS doc_bytes, lpad(bin(CAST('0x' || md5(CAST(doc_id AS VARCHAR))[:16] AS UBIGINT)), 64, '0') AS bits FROM documents),
 s AS (SELECT depth, bits[:depth] AS shard, CAST(sum(doc_bytes) AS BIGINT) AS shard_bytes FROM d, range(0, 33) t(depth) GROUP BY ALL),
-f AS (SELECT doc_id, doc_bytes, min(depth) AS depth, bits FROM d JOIN s ON s.shard = bits[:depth] WHERE shard_bytes <= {SHARD_BYTES} GROUP BY ALL)
+f AS (SELECT doc_id, doc_bytes, min(depth) AS depth, bits FROM d JOIN s ON s.shard = bits[:depth] WHERE shard_bytes <= {limit} GROUP BY ALL)
 SELECT doc_id, doc_bytes, s.shard, s.shard_bytes FROM f JOIN s ON s.depth = f.depth AND s.shard = f.bits[:f.depth]
 """
 
 
+ORACLES["op9_sharding"] = _sql_shards(SHARD_BYTES)
+#: No document of the tables is longer.
+SMALL_SHARD_BYTES = 256 << 10
+
+
+@query
+def sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards of documents at a limit that needs several, even on small tables."""
+    rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("doc_bytes"))
+    return sharding.shards(rows, "doc_id", F.col("doc_bytes"), SMALL_SHARD_BYTES)
+
+
+ORACLES["sharding_small"] = _sql_shards(SMALL_SHARD_BYTES)
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document under merge-dropout, by number and digest, and the digest of what they decode to."""

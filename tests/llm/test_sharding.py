@@ -8,6 +8,8 @@ from simloom.llm import registry, sharding
 
 def test_oracle(spark, sf_dir):
     same(registry.op9_sharding(spark, sf_dir), registry.ORACLES["op9_sharding"], sf_dir)
+    same(registry.sharding_small(spark, sf_dir), registry.ORACLES["sharding_small"], sf_dir)
+    assert registry.sharding_small(spark, sf_dir).select("shard").distinct().count() > 1
 
 
 def brute(rows, limit):

@@ -1,17 +1,30 @@
 from helpers_llm import same
+from pyspark.sql import functions as F
 
 from simloom.llm import registry, urls
 
 
 def test_oracle(spark, sf_dir):
     same(registry.op3_url_filters(spark, sf_dir), registry.ORACLES["op3_url_filters"], sf_dir)
+    same(registry.url_alias_verdicts(spark, sf_dir), registry.ORACLES["url_alias_verdicts"], sf_dir)
+    verdicts = registry.url_alias_verdicts(spark, sf_dir).groupBy((F.col("rule").isNull()).alias("free"), "verdict").count().collect()
+    assert any(r.free and r.verdict == "block" for r in verdicts)
+
+
+def test_links_by_the_book(spark):
+    """The examples of normal and abnormal references of RFC 3986, 5.4, that lead to an address."""
+    base = "http://a/b/c/d;p?q"
+    want = {"g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "g?y/./x": "/b/c/g?y/./x", ";x": "/b/c/;x", "g;x?y#s": "/b/c/g;x?y#s", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g", "../..": "/", "../../g": "/g", "../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", "..g": "/b/c/..g", "./../g": "/b/g", "./g/.": "/b/c/g/", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h"}
+    rows = [(h, "http://a" + w) for h, w in want.items()] + [("//g", "http://g"), ("http://x/y/../z", "http://x/z"), ("mailto:a@b", None), ("#s", None)]
+    df = spark.createDataFrame(rows, "href string, want string").withColumn("got", urls.resolved(F.col("href"), F.lit(base)))
+    assert [(r.href, r.got) for r in df.collect() if r.got != r.want] == []
 
 
 PAGES = [
     (1, "http://a.org/x", '<link rel="canonical" href="https://b.net/es/y?q=1">'),
     (2, "HTTP://B.NET/es/y#frag", None),
     (3, "http://c.org/1", "<META content='5; URL=/2' http-equiv=refresh>"),
-    (4, "http://c.org/2?x", "<link href='//a.org/x' rel=canonical>"),
+    (4, "http://c.org/2#x", "<link href='//a.org/x' rel=canonical>"),
     (5, "http://d.org/a/b", "<link rel='canonical' href='c'>"),
     (6, "http://d.org/a/c", "<link rel=canonical href=http://shop.com/ok>"),
     (7, "http://shop.com/ok", "<link rel=canonical href=http://z.net/fr/1>"),
@@ -26,6 +39,14 @@ PAGES = [
     (None, "http://x.net/es/", "x"),
     (15, "http://loop.org/", "<link rel=canonical href='http://loop.org/'>"),
     (16, "http://q.org/" + "p" * 50_000, "x"),
+    (17, "http://r.org/p?id=1", "<link rel=canonical href='http://w.net/fr/a'>"),
+    (18, "http://r.org/p?id=2", "x"),
+    (19, "http://s.org/a/b/c?x", "<link rel=canonical href='../../t/./u'><link rel=canonical href='?k=1'><meta http-equiv=refresh content='0;url=http://w.net/fr/b'>"),
+    (20, "http://s.org/t/u", "x"),
+    (21, "http://s.org/a/b/c?k=1#z", "x"),
+    (22, "http://s.org/a/b/c", "<link rel=canonical href='mailto:x@w.net'><link rel=canonical href='#top'>"),
+    (23, "http://root.org", "<link rel=canonical href='http://w.net/fr/c'>"),
+    (24, "http://root.org/", "x"),
 ]
 
 
@@ -40,6 +61,8 @@ def test_aliases_and_precedence(spark, tmp_path):
     assert [by[k] for k in (9, 10, 11, 15, 16)] == [(None, "allow")] * 5
     assert by[12] == ("example.com/en/", "block") and by[13] == ("www.example.com/en/", "allow") and by[14] == ("com/", "allow")
     assert by[None] == ("net/es/", "block")
+    # The query is part of an address; several links, dots and queries of links count; a fragment doesn't.
+    assert [by[k][1] for k in (17, 18, 19, 20, 21, 22, 23, 24)] == ["block", "allow", "block", "block", "block", "allow", "block", "block"]
     assert urls.judge(df.limit(0), registry.RULES).count() == 0
     more = spark.createDataFrame([("http://loop.org/", "http://x.net/es/"), (None, "http://loop.org/")], "src string, dst string")
     assert {r.page_id: r.verdict for r in urls.judge(df, registry.RULES, more).collect()}[15] == "block"
