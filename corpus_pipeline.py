@@ -17,9 +17,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without any letter go."""
-    found = langid.identify(F.col("text"), registry.learnt(docs))
-    return docs.where(found["lang"] != langid.UNKNOWN).select(*COLUMNS)
+    """Documents in which a language is found, those without a label under the one that is found; texts without any letter go."""
+    found = docs.select(*COLUMNS, langid.identify(F.col("text"), registry.learnt(docs)).alias("found"))
+    kept = found.where(F.col("found.lang") != langid.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "found.lang")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
