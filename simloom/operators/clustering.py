@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.functions import numbers as N
+
 #: Nodes of the largest matrix that the driver takes: 4,000 squared doubles are 128 MB.
 MOST_NODES = 4000
 
@@ -74,25 +76,34 @@ def matrix(edges: DataFrame) -> tuple[list[int], np.ndarray]:
 
 def agglomerative(w: np.ndarray, threshold: float = 0.2, linkage: str = "average") -> list[list[int]]:
     """Clusters of a similarity matrix: the most similar two are joined while their similarity reaches ``threshold``."""
-    members = {k: [k] for k in range(len(w))}
-    sims = {(i, j): float(w[i, j]) for i in members for j in members if i < j and w[i, j] >= 0}
-    heap = [(-s, i, j) for (i, j), s in sims.items() if s >= threshold]
+    n = len(w)
+    members = {k: [k] for k in range(n)}
+    # Row k: what cluster k has with each node, as a sum or as an extreme; merging two adds or compares two rows.
+    near = {k: w[k].astype(float) for k in range(n)}
+    fold = {"average": np.add, "max": np.maximum, "min": np.minimum}[linkage]
+    heap = [(-float(w[i, j]), i, j) for i, j in zip(*np.nonzero(np.triu(w >= threshold, 1)), strict=True)]
     heapq.heapify(heap)
-    fresh = len(w)
+    fresh = n
     while heap:
         _, i, j = heapq.heappop(heap)
         if i not in members or j not in members:
             continue
-        a, b = members.pop(i), members.pop(j)
-        both = a + b
-        for k, other in members.items():
-            block = w[np.ix_(both, other)]
-            s = float({"average": block.mean, "max": block.max, "min": block.min}[linkage]())
-            if s >= threshold:
-                heapq.heappush(heap, (-s, k, fresh))
-        members[fresh] = both
+        both = members.pop(i) + members.pop(j)
+        row = fold(near.pop(i), near.pop(j))
+        # By the last cluster of each node: the same fold over its members.
+        keys = list(members)
+        if keys:
+            order = np.concatenate([members[k] for k in keys])
+            starts = np.cumsum([0] + [len(members[k]) for k in keys[:-1]])
+            sims = fold.reduceat(row[order], starts)
+            if linkage == "average":
+                sims = sims / (len(both) * np.array([len(members[k]) for k in keys]))
+            for k, s in zip(keys, sims.tolist(), strict=True):
+                if s >= threshold:
+                    heapq.heappush(heap, (-s, k, fresh))
+        members[fresh], near[fresh] = both, row
         fresh += 1
-    return [sorted(m) for m in members.values()]
+    return [sorted(int(x) for x in m) for m in members.values()]
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 100) -> np.ndarray:
@@ -208,19 +219,22 @@ def quality(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``(cluster_id, size, strength, avg_similarity)`` of clusters over the whole matrix.
 
     Strength is the share of similarity inside a cluster less the square of its share of all; both directions of
-    a pair count. The mean is over all pairs of members, absent ones as 0.
+    a pair count. The mean is over all pairs of members, absent ones as 0. Similarities are summed in millionths, so
+    that no order of rows shows.
     """
-    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    edges = edges.select("i", "j", N.millionths(F.col("w")).alias("w"))
+    both = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     total = both.agg(F.sum("w").alias("total"))
     mine = members.select(F.col("member").alias("i"), F.col("cluster_id").alias("ci"))
     other = members.select(F.col("member").alias("j"), F.col("cluster_id").alias("cj"))
     rows = both.join(mine, "i").join(other, "j", "left")
-    sums = rows.groupBy(F.col("ci").alias("cluster_id")).agg(F.sum("w").alias("of_row"), F.coalesce(F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w"))), F.lit(0.0)).alias("inside"))
+    sums = rows.groupBy(F.col("ci").alias("cluster_id")).agg(F.sum("w").alias("of_row"), F.coalesce(F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w"))), F.lit(0)).alias("inside"))
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
     out = sizes.join(sums, "cluster_id", "left").crossJoin(F.broadcast(total))  # one row
-    share = F.coalesce("inside", F.lit(0.0)) / F.col("total") - F.pow(F.coalesce("of_row", F.lit(0.0)) / F.col("total"), F.lit(2))
-    mean = F.coalesce("inside", F.lit(0.0)) / (F.col("size") * (F.col("size") - 1))
-    return out.select("cluster_id", "size", F.round(F.when(F.col("total") > 0, share).otherwise(0.0), 6).alias("strength"), F.round(F.when(F.col("size") > 1, mean).otherwise(0.0), 6).alias("avg_similarity"))
+    inside, row = F.coalesce("inside", F.lit(0)), F.coalesce("of_row", F.lit(0)) / F.col("total")
+    share = inside / F.col("total") - row * row
+    mean = N.mean_of(inside, F.col("size") * (F.col("size") - 1))
+    return out.select("cluster_id", "size", F.round(F.when(F.col("total") > 0, share).otherwise(0.0), 6).alias("strength"), F.coalesce(mean, F.lit(0.0)).alias("avg_similarity"))
 
 
 def worth(facts: DataFrame) -> DataFrame:
@@ -247,7 +261,7 @@ def single_linkage(edges: DataFrame, threshold: float) -> DataFrame:
     was = None
     while True:
         labels = cut(labels)
-        state = labels.agg(F.sum("label"), F.count("*")).first()
+        state = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
         if state == was:
             return labels.select("node", F.col("label").alias("component"))
         was = state

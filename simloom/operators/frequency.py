@@ -97,7 +97,7 @@ def weighted_similarity(matches: DataFrame, weights: DataFrame, sizes: DataFrame
     rows = matches.join(weights, "seq", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).crossJoin(F.broadcast(most))  # one row
     rarity = 1 - F.least(F.col("weight") / F.greatest("most", F.lit(1.0)), F.lit(1.0))
     scale = F.when(F.col("weight") == 0, 1.0).otherwise((1 - factor) + factor * WEIGHTINGS[weighting](rarity))
-    sums = rows.groupBy("a", "b").agg(F.sum((F.col("l1") + F.col("l2")) * scale).alias("m"))
+    sums = rows.groupBy("a", "b").agg(F.sum(((F.col("l1") + F.col("l2")) * scale).cast("decimal(28,10)")).cast("double").alias("m"))
     left, right = (sizes.select(F.col("sub").alias(s), F.col("divisor").alias(f"d_{s}")) for s in ("a", "b"))
     d = F.col("d_a") + F.col("d_b")
     return sums.join(left, "a").join(right, "b").select("a", "b", F.round(F.when(d > 0, F.col("m") / d).otherwise(0.0), 6).alias("weighted_sim"))

@@ -29,7 +29,7 @@ def maximal_runs(seq: DataFrame, k: int, left: DataFrame | None = None, within:
         before = before | ((F.col("a.sub") == F.col("b.sub")) & (F.col("a.pos") < F.col("b.pos")))
     if left is not None:
         before = before & (F.coalesce("a.new", F.lit(False)) | F.coalesce("b.new", F.lit(False)))
-    both = a.join(b, (F.col("a.gram") == F.col("b.gram")) & before)
+    both = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.check") == F.col("b.check")) & before)
     first = F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True))
     last = F.coalesce(F.col("a.after") != F.col("b.after"), F.lit(True))
     edge = both.select(F.col("a.sub").alias("a"), F.col("b.sub").alias("b"), F.col("a.pos").alias("s1"), F.col("b.pos").alias("s2"), first.alias("first"), last.alias("last")).where("first or last")
@@ -67,14 +67,25 @@ def select_tiles(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int
     return chosen
 
 
-def tiles(runs: DataFrame, least: int) -> DataFrame:
+def tiles(runs: DataFrame, least: int, sizes: DataFrame | None = None) -> DataFrame:
     """``(a, b, s1, s2, len)`` of the greedy tiles of each pair.
 
+    Of runs of one length the leftmost on the smaller side comes first: that of fewer tokens by ``sizes(sub,
+    n_tokens)``, then of the lesser name; without sizes that is ``a``.
     A pair of one run keeps it as it is and never reaches Python; the others go there as arrays, many pairs at
     once.
     """
     pairs = runs.groupBy("a", "b").agg(F.collect_list(F.struct("s1", "s2", "len")).alias("runs"))
     kind = "array<struct<s1:int,s2:int,len:int>>"
+    turned = F.lit(False)
+    single = pairs.where(F.size("runs") == 1).select("a", "b", F.col("runs").cast(kind).alias("runs"))
+    pairs = pairs.where(F.size("runs") > 1)
+    if sizes is not None:
+        left, right = (sizes.select(F.col("sub").alias(s), F.col("n_tokens").alias(f"n_{s}")) for s in ("a", "b"))
+        pairs = pairs.join(left, "a").join(right, "b")
+        turned = F.struct("n_b", "b") < F.struct("n_a", "a")
+    turn = lambda runs: F.transform(runs, lambda r: F.struct(r["s2"].alias("s1"), r["s1"].alias("s2"), r["len"].alias("len")))
+    pairs = pairs.select("a", "b", turned.alias("turned"), F.when(turned, turn(F.col("runs"))).otherwise(F.col("runs")).cast(kind).alias("runs"))
 
     @F.arrow_udf(kind)
     def greedy(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -82,8 +93,8 @@ def tiles(runs: DataFrame, least: int) -> DataFrame:
             out = [[{"s1": x, "s2": y, "len": n} for x, y, n in select_tiles([(r["s1"], r["s2"], r["len"]) for r in rows], least)] for rows in batch.to_pylist()]
             yield pa.array(out, pa.list_(pa.struct([("s1", pa.int32()), ("s2", pa.int32()), ("len", pa.int32())])))
 
-    single = pairs.where(F.size("runs") == 1).select("a", "b", F.col("runs").cast(kind).alias("runs"))
-    several = pairs.where(F.size("runs") > 1).select("a", "b", greedy(F.col("runs").cast(kind)).alias("runs"))
+    chosen = pairs.select("a", "b", "turned", greedy(F.col("runs")).alias("runs"))
+    several = chosen.select("a", "b", F.when(F.col("turned"), turn(F.col("runs"))).otherwise(F.col("runs")).alias("runs"))
     return single.unionByName(several).select("a", "b", F.inline("runs"))
 
 

@@ -33,15 +33,17 @@ def long_form(seq: DataFrame) -> DataFrame:
 
 
 def grams(seq: DataFrame, k: int) -> DataFrame:
-    """``(sub, pos, gram, before, after)``: the hash of each window of k words and of the words around it.
+    """``(sub, pos, gram, check, before, after)``: two hashes of each window of k words, and those of the words around it.
 
+    ``gram`` and ``check`` are 128 bits together, so that among 10^12 windows no two unlike ones are expected to agree.
     Windows come from the arrays themselves, so no window function shuffles or sorts the tokens.
     """
     coded = seq.select("sub", F.transform("words", lambda w: F.xxhash64(w)).alias("c"))
     at = F.explode(F.sequence(F.lit(0), F.size("c") - k))
     rows = coded.where(F.size("c") >= k).select("sub", "c", at.alias("pos"))
+    rows = rows.withColumn("w", F.slice("c", F.col("pos") + 1, k))
     # Which word is before or after matters only for equality, so null stands for none and equals nothing.
-    return rows.select("sub", "pos", F.xxhash64(F.slice("c", F.col("pos") + 1, k)).alias("gram"), F.get("c", F.col("pos") - 1).alias("before"), F.get("c", F.col("pos") + k).alias("after"))
+    return rows.select("sub", "pos", F.xxhash64("w").alias("gram"), F.xxhash64(F.lit(k), F.reverse("w")).alias("check"), F.get("c", F.col("pos") - 1).alias("before"), F.get("c", F.col("pos") + k).alias("after"))
 
 
 def dictionary(seq: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def dictionary(seq: DataFrame) -> DataFrame:
 
 def base_marking(seq: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """``(sub, s, e)``: the maximal stretches [s, e) of each submission that windows shared with ``base`` cover."""
-    shared = grams(seq, k).join(grams(base, k).select("gram").distinct(), "gram", "left_semi").select("sub", "pos")
+    shared = grams(seq, k).join(grams(base, k).select("gram", "check").distinct(), ["gram", "check"], "left_semi").select("sub", "pos")
     w = Window.partitionBy("sub").orderBy("pos")
     new = F.coalesce(F.col("pos") > F.lag("pos").over(w) + k, F.lit(True)).cast("int")
     island = F.sum("new").over(w)

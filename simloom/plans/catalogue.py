@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from simloom.functions import numbers as N
 from simloom.functions import text as T
 from simloom.operators import clustering, frequency, matching, normalization, report, results, tokens
 from simloom.plans import views as V
@@ -22,10 +24,15 @@ def query(ctes: str | None = None, body: str | None = None):
     """Register a query under its function's name, with the oracle ``WITH ctes body`` if there is one."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def fresh(spark, sf):
+            V.start()
+            return f(spark, sf)
+
+        QUERIES[f.__name__] = fresh
         if body is not None:
             ORACLES[f.__name__] = V.sql(ctes, body) if ctes else body
-        return f
+        return f  # queries that build on others share what these save
 
     return add
 
@@ -174,8 +181,8 @@ def pair_universe(spark, sf):
 
 @query(V.GRAMS, "SELECT a, b, count(*) AS n_grams FROM (SELECT DISTINCT x.sub AS a, y.sub AS b, gram FROM grams x JOIN grams y USING (gram) WHERE x.sub < y.sub) GROUP BY a, b")
 def shared_gram_pairs(spark, sf):
-    g = tokens.grams(V.valid(spark, sf), K).select("sub", "gram").distinct()
-    pairs = g.alias("x").join(g.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sub") < F.col("y.sub")))
+    g = tokens.grams(V.valid(spark, sf), K).select("sub", "gram", "check").distinct()
+    pairs = g.alias("x").join(g.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.check") == F.col("y.check")) & (F.col("x.sub") < F.col("y.sub")))
     return pairs.groupBy(F.col("x.sub").alias("a"), F.col("y.sub").alias("b")).agg(F.count("*").alias("n_grams"))
 
 
@@ -355,7 +362,7 @@ _SIG = "(1 / (1 + exp(-10 * ({x} - 0.5))))"
 _SIGMOID = f"1 + ({_SIG.format(x='r')} - {_SIG.format(x='0')}) / ({_SIG.format(x='1')} - {_SIG.format(x='0')})"
 
 
-@query(SEQ, f"""SELECT m.a, m.b, round(sum(2 * m.len * (0.75 + 0.25 * ({_SIGMOID}))) / (any_value(x.divisor) + any_value(y.divisor)), 6) AS weighted_sim
+@query(SEQ, f"""SELECT m.a, m.b, round(CAST(sum(CAST(2 * m.len * (0.75 + 0.25 * ({_SIGMOID})) AS DECIMAL(28,10))) AS DOUBLE) / (any_value(x.divisor) + any_value(y.divisor)), 6) AS weighted_sim
 FROM (SELECT *, 1 - least(n / max(n) OVER (), 1) AS r FROM ms JOIN (SELECT seq, count(*) AS n FROM ms GROUP BY seq) USING (seq)) m JOIN sizes x ON x.sub = m.a JOIN sizes y ON y.sub = m.b GROUP BY m.a, m.b""")
 def frequency_weighted_similarity(spark, sf):
     m = V.sequences_of_matches(spark, sf)
@@ -401,9 +408,9 @@ def components_single_linkage(spark, sf):
     return clustering.single_linkage(V.edges(spark, sf), V.EDGE)
 
 
-QUALITY = f"""{V.MEMBERS}, both_ways AS (SELECT a AS i, b AS j, avg_sim AS w FROM cmp UNION ALL SELECT b, a, avg_sim FROM cmp),
+QUALITY = f"""{V.MEMBERS}, both_ways AS (SELECT i, j, CAST(round(w * 1000000) AS BIGINT) AS w FROM (SELECT a AS i, b AS j, avg_sim AS w FROM cmp UNION ALL SELECT b, a, avg_sim FROM cmp)),
 q AS (SELECT x.cluster_id, sum(w) AS of_row, coalesce(sum(w) FILTER (y.cluster_id = x.cluster_id), 0) AS inside FROM both_ways JOIN members x ON x.member = i LEFT JOIN members y ON y.member = j GROUP BY x.cluster_id),
-facts AS (SELECT cluster_id, size, round(inside / total - (of_row / total) ** 2, 6) AS strength, round(inside / (size * (size - 1)), 6) AS avg_similarity FROM q JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY cluster_id) USING (cluster_id), (SELECT sum(w) AS total FROM both_ways))"""
+facts AS (SELECT cluster_id, size, round(inside / total - (of_row / total) * (of_row / total), 6) AS strength, (2 * inside + size * (size - 1)) // (2 * size * (size - 1)) / 1000000 AS avg_similarity FROM q JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY cluster_id) USING (cluster_id), (SELECT sum(w) AS total FROM both_ways))"""
 
 
 def _quality(spark, sf):
@@ -569,7 +576,7 @@ def files_sorted_by_coverage(spark, sf):
 GOLD = f"{V.CMP}, g AS (SELECT cmp.*, coalesce(x.quality = 0 AND y.quality = 0, false) AS gold FROM cmp LEFT JOIN labels x ON x.doc_id = b LEFT JOIN labels y ON y.doc_id = a)"
 
 
-@query(GOLD, "SELECT count(*) FILTER (gold) AS n_gold, round(avg(max_sim) FILTER (gold), 6) AS gold_mean, round(avg(max_sim) FILTER (NOT gold), 6) AS other_mean FROM g")
+@query(GOLD, "SELECT n AS n_gold, CASE WHEN n > 0 THEN (2 * s + n) // (2 * n) / 1000000 END AS gold_mean, CASE WHEN o > 0 THEN (2 * t + o) // (2 * o) / 1000000 END AS other_mean FROM (SELECT count(*) FILTER (gold) AS n, count(*) FILTER (NOT gold) AS o, sum(CAST(round(max_sim * 1000000) AS BIGINT)) FILTER (gold) AS s, sum(CAST(round(max_sim * 1000000) AS BIGINT)) FILTER (NOT gold) AS t FROM g)")
 def gold_standard_split(spark, sf):
     low = table(spark, sf, "labels", "doc_id", "quality").where("quality = 0").select("doc_id")
     c = V.comparisons(spark, sf)
@@ -588,10 +595,16 @@ def comparison_json(spark, sf):
     return rows.select("a", "b", F.to_json(F.struct(F.col("name_a").alias("first"), F.col("name_b").alias("second"), "matched", "longest")).alias("report"))
 
 
-@query(V.CMP, "SELECT a, b, printf('%.2f', avg_sim * 100) || '%' AS avg, printf('%.2f', max_sim * 100) || '%' AS max FROM cmp")
+@query(V.CMP, "SELECT a, b, (u // 100) || '.' || lpad(CAST(u % 100 AS VARCHAR), 2, '0') || '%' AS avg, (m // 100) || '.' || lpad(CAST(m % 100 AS VARCHAR), 2, '0') || '%' AS max FROM (SELECT a, b, (CAST(round(avg_sim * 1000000) AS BIGINT) + 50) // 100 AS u, (CAST(round(max_sim * 1000000) AS BIGINT) + 50) // 100 AS m FROM cmp)")
 def formatted_metrics(spark, sf):
-    share = lambda c: F.concat(F.format_string("%.2f", F.col(c) * 100), F.lit("%"))
-    return V.comparisons(spark, sf).select("a", "b", share("avg_sim").alias("avg"), share("max_sim").alias("max"))
+    return V.comparisons(spark, sf).select("a", "b", N.percent(F.col("avg_sim")).alias("avg"), N.percent(F.col("max_sim")).alias("max"))
+
+
+@query(None, "SELECT doc_id, strftime(DATE '2024-01-01' + CAST(doc_id % 9000 AS INTEGER), '%d/%m/%y') AS day, printf('%dh %02dmin %02ds %03dms', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS took FROM (SELECT doc_id, CAST(doc_id * 7919 AS BIGINT) AS ms FROM documents)")
+def formatted_times(spark, sf):
+    """Dates and durations as reports write them."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", N.day(day).alias("day"), N.duration(F.col("doc_id") * 7919).alias("took"))
 
 
 # --- functions on tables ---------------------------------------------------------------------------------------------

@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.operators import clustering, matching, tokens
+from simloom.sources import stored
 from simloom.sources.tables import table
 
 #: Least match in tokens, and least average similarity of a cluster's edge.
 K, EDGE = 12, 0.2
 
 
+#: Tables that the query in hand has saved; each query starts with none.
+_SAVED: dict[str, DataFrame] = {}
+
+
+def start() -> None:
+    """Forget what the query before has saved."""
+    _SAVED.clear()
+
+
+def _once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is written once for a query, however often the query reads it."""
+    if name not in _SAVED:
+        _SAVED[name] = stored.saved(make(), name)
+    return _SAVED[name]
+
+
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.sequences(table(spark, sf, "documents", "doc_id", "text"))
+    return _once("words", lambda: tokens.sequences(stored.spread(table(spark, sf, "documents", "doc_id", "text"))))
 
 
 def valid(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,7 +53,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.tiles(runs(spark, sf), K)
+    return _once("tiles", lambda: matching.tiles(runs(spark, sf), K, sizes(spark, sf)))
 
 
 def comparisons(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,13 +107,15 @@ GRAMS = f"{SIZES}, grams AS (SELECT sub, pos, array_to_string(w[pos + 1:pos + {K
 RUNS = f"""{GRAMS}, seeds AS (SELECT x.sub AS a, y.sub AS b, x.pos AS s1, y.pos AS s2 FROM grams x JOIN grams y ON x.gram = y.gram AND x.sub < y.sub),
 islands AS (SELECT *, s1 - row_number() OVER (PARTITION BY a, b, s1 - s2 ORDER BY s1) AS g FROM seeds),
 runs AS (SELECT a, b, min(s1) AS s1, min(s2) AS s2, count(*) + {K - 1} AS len FROM islands GROUP BY a, b, s1 - s2, g)"""
-_PICK = "OVER (PARTITION BY a, b ORDER BY len DESC, s1, s2)"
+#: Longest first, then leftmost on the side of fewer tokens.
+_PICK = "OVER (PARTITION BY a, b ORDER BY len DESC, CASE WHEN fwd THEN s1 ELSE s2 END, CASE WHEN fwd THEN s2 ELSE s1 END)"
+_STEP = f"fwd, row_number() {_PICK} AS k, first_value(s1) {_PICK} AS c1, first_value(s2) {_PICK} AS c2, first_value(len) {_PICK} AS cl"
 TILES = f"""{RUNS}, step AS (
-  SELECT a, b, s1, s2, len, row_number() {_PICK} AS k, first_value(s1) {_PICK} AS c1, first_value(s2) {_PICK} AS c2, first_value(len) {_PICK} AS cl FROM runs
+  SELECT a, b, s1, s2, len, {_STEP} FROM (SELECT runs.*, (x.n_tokens, a) <= (y.n_tokens, b) AS fwd FROM runs JOIN sizes x ON x.sub = a JOIN sizes y ON y.sub = b)
   UNION ALL
-  SELECT a, b, s1, s2, len, row_number() {_PICK}, first_value(s1) {_PICK}, first_value(s2) {_PICK}, first_value(len) {_PICK} FROM (
-    SELECT a, b, s1 + p.lo AS s1, s2 + p.lo AS s2, p.hi - p.lo AS len FROM (
-      SELECT a, b, s1, s2, unnest([{{'lo': 0, 'hi': least(x, len)}}, {{'lo': greatest(x + cl, 0), 'hi': least(y, len)}}, {{'lo': greatest(y + cl, 0), 'hi': len}}]) AS p
+  SELECT a, b, s1, s2, len, {_STEP} FROM (
+    SELECT a, b, fwd, s1 + p.lo AS s1, s2 + p.lo AS s2, p.hi - p.lo AS len FROM (
+      SELECT a, b, fwd, s1, s2, unnest([{{'lo': 0, 'hi': least(x, len)}}, {{'lo': greatest(x + cl, 0), 'hi': least(y, len)}}, {{'lo': greatest(y + cl, 0), 'hi': len}}]) AS p
       FROM (SELECT *, least(c1 - s1, c2 - s2) AS x, greatest(c1 - s1, c2 - s2) AS y FROM step WHERE k > 1)
     ) WHERE p.hi - p.lo >= {K}
   )

@@ -99,7 +99,7 @@ TOKENS = "array<struct<type:string,line:int,column:int,length:int>>"
 def tokenized(files: DataFrame, language: str, normalize: bool = False) -> DataFrame:
     """``files(path, text, ...)`` with ``tokens`` and ``error``; each file ends with one end token.
 
-    A file that can't be read has an error and no tokens; a null text too. With ``normalize``, languages that
+    A file whose tokeniser fails in any way has an error and no tokens; a null text too. With ``normalize``, languages that
     have an order of their own give it.
     """
 
@@ -117,9 +117,9 @@ def tokenized(files: DataFrame, language: str, normalize: bool = False) -> DataF
                     f = lang.normal if normalize and lang.normal else lang.tokenize
                     tokens.append([t._asdict() for t in [*f(text), END]])
                     errors.append(None)
-                except ParseError as e:
+                except Exception as e:  # whatever a tokeniser fails with, the file can't be parsed and others can
                     tokens.append(None)
-                    errors.append(str(e))
+                    errors.append(str(e) or type(e).__name__)
             yield pa.StructArray.from_arrays([pa.array(tokens, kind), pa.array(errors, pa.string())], names=["tokens", "error"])
 
     found = run(F.col("path").cast("string"), F.col("text").cast("string"))
