@@ -6,6 +6,7 @@ import json
 import zipfile
 from collections.abc import Iterator
 from dataclasses import asdict
+from datetime import datetime
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,13 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.config import Options
+from simloom.functions import numbers as N
 
 COLORS = 7
 VERSION = (1, 0, 0)
 
 
 def line_ranges(matches: DataFrame, statements: DataFrame) -> DataFrame:
-    """``matches`` with the first and last line of their left side.
+    """``matches(a, b, s1, s2, len)`` with the first and last line of each side: ``line1, end1, line2, end2``.
 
     Lines come as one sorted array a submission, in which a match's first and last token are looked up, so no
     range join is needed.
@@ -27,9 +29,44 @@ def line_ranges(matches: DataFrame, statements: DataFrame) -> DataFrame:
     w = Window.partitionBy("sub").orderBy("line")
     ends = statements.withColumn("to", F.sum("n_tokens").over(w))
     arrays = ends.groupBy("sub").agg(F.array_sort(F.collect_list(F.struct("line", "to"))).alias("lines"))
-    rows = matches.join(arrays.withColumnRenamed("sub", "a"), "a")
-    at = lambda pos: F.filter("lines", lambda x: x["to"] > pos)[0]["line"]
-    return rows.select("a", "b", "s1", "s2", "len", at(F.col("s1")).alias("first_line"), at(F.col("s1") + F.col("len") - 1).alias("last_line"))
+    rows = matches
+    for k, side in ((1, "a"), (2, "b")):
+        at = lambda pos: F.filter("lines", lambda x: x["to"] > pos)[0]["line"]
+        start = F.col(f"s{k}")
+        rows = rows.join(arrays.withColumnRenamed("sub", side), side).withColumns({f"line{k}": at(start), f"end{k}": at(start + F.col("len") - 1)}).drop("lines")
+    return rows.select("a", "b", "s1", "s2", "len", "line1", "end1", "line2", "end2")
+
+
+def positions(matches: DataFrame, places: DataFrame) -> DataFrame:
+    """``matches(a, b, s1, s2, l1, l2)`` with ``first`` and ``second``: where each side begins and ends.
+
+    A side is ``struct(file, start, end)`` and each end ``struct(line, column, token)``: the least begin and the
+    greatest end of the match's tokens by line and column, columns from 0. ``places(sub, places)`` is what a run has.
+    """
+    rows = matches
+    for name, side, s, n in (("first", "a", "s1", "l1"), ("second", "b", "s2", "l2")):
+        mine = places.select(F.col("sub").alias(side), F.col("places").alias("p"))
+        rows = rows.join(mine, side).withColumn("p", F.slice("p", F.col(s) + 1, F.col(n)))
+        low = F.array_min(F.transform("p", lambda t: F.struct(t["line"].alias("line"), t["column"].alias("column"), t["file"].alias("file"))))
+        high = F.array_max(F.transform("p", lambda t: F.struct(t["line"].alias("line"), (t["column"] + t["length"]).alias("column"))))
+        end = lambda x, token: F.struct(x["line"].alias("line"), (x["column"] - 1).alias("column"), token.cast("long").alias("token"))
+        rows = rows.withColumn(name, F.struct(low["file"].alias("file"), end(low, F.col(s)).alias("start"), end(high, F.col(s) + F.col(n) - 1).alias("end"))).drop("p")
+    return rows
+
+
+def base_code(base: DataFrame, places: DataFrame, shown: DataFrame) -> DataFrame:
+    """``(sub, matches)`` for each submission of ``shown(sub)``: where it matches the base code; empty if it doesn't."""
+    rows = positions(base.select(F.col("sub").alias("a"), F.col("sub").alias("b"), F.col("s").alias("s1"), F.col("s").alias("s2"), F.col("len").alias("l1"), F.col("len").alias("l2")), places)
+    lists = rows.groupBy(F.col("a").alias("sub")).agg(F.array_sort(F.collect_list(F.struct(F.col("s1").cast("long").alias("token"), F.col("l1").cast("long").alias("length"), F.col("first").alias("place")))).alias("matches"))
+    return shown.select("sub").distinct().join(lists, "sub", "left").withColumn("matches", F.coalesce("matches", F.array().cast(lists.schema["matches"].dataType)))
+
+
+def run_information(states: DataFrame, n_comparisons: int, began: datetime, milliseconds: int) -> DataFrame:
+    """One row: version, date, duration in milliseconds and as text, number of comparisons, and what could not be compared."""
+    failed = states.where("state <> 'VALID'").agg(F.array_sort(F.collect_list(F.struct(F.col("sub").alias("submission"), "state"))).alias("failed"))
+    took = F.lit(milliseconds).cast("long")
+    version = F.struct(*(F.lit(v).alias(n) for n, v in zip(("major", "minor", "patch"), VERSION, strict=True)))
+    return failed.select(version.alias("version"), N.day(F.lit(began)).alias("date"), took.alias("milliseconds"), N.duration(took).alias("duration"), F.lit(n_comparisons).cast("long").alias("comparisons"), "failed")
 
 
 def colors(matches: DataFrame) -> DataFrame:

@@ -427,6 +427,16 @@ def cluster_avg_similarity(spark, sf):
     return _quality(spark, sf).select("cluster_id", "size", "avg_similarity")
 
 
+@query(QUALITY, "SELECT cluster_id, avg_similarity, row_number() OVER (ORDER BY avg_similarity DESC, cluster_id) AS place FROM facts")
+def clusters_by_similarity(spark, sf):
+    return results.clusters_in_order(_quality(spark, sf)).select("cluster_id", "avg_similarity", "place")
+
+
+@query(QUALITY, "SELECT cmp.a, cmp.b, cmp.avg_sim, CASE WHEN x.cluster_id = y.cluster_id THEN x.cluster_id ELSE -1 END AS cluster_id, CASE WHEN x.cluster_id = y.cluster_id THEN f.avg_similarity ELSE -1 END AS cluster_sim FROM cmp LEFT JOIN members x ON x.member = a LEFT JOIN members y ON y.member = b LEFT JOIN facts f ON f.cluster_id = x.cluster_id")
+def comparisons_by_cluster(spark, sf):
+    return results.by_cluster(V.comparisons(spark, sf), V.members(spark, sf), _quality(spark, sf)).select("a", "b", "avg_sim", "cluster_id", "cluster_sim")
+
+
 @query(QUALITY, "SELECT cluster_id FROM facts WHERE size >= 2 AND strength >= 0")
 def good_clusters(spark, sf):
     return _quality(spark, sf).where("size >= 2 and strength >= 0").select("cluster_id")
@@ -499,17 +509,32 @@ def report_comparison_filenames(spark, sf):
 LINES = f"{V.TILES}, ln AS (SELECT sub, line, sum(n_tokens) OVER (PARTITION BY sub ORDER BY line) - n_tokens AS from_, sum(n_tokens) OVER (PARTITION BY sub ORDER BY line) AS to_ FROM ({STATEMENTS}))"
 
 
-@query(LINES, "SELECT a, b, s1, s2, len, min(x.line) AS line1, max(x.line) AS end1 FROM tiles JOIN ln x ON x.sub = a AND x.from_ < s1 + len AND s1 < x.to_ GROUP BY a, b, s1, s2, len")
+@query(LINES, """SELECT * FROM (SELECT a, b, s1, s2, len, min(x.line) AS line1, max(x.line) AS end1 FROM tiles JOIN ln x ON x.sub = a AND x.from_ < s1 + len AND s1 < x.to_ GROUP BY a, b, s1, s2, len)
+JOIN (SELECT a, b, s1, s2, len, min(x.line) AS line2, max(x.line) AS end2 FROM tiles JOIN ln x ON x.sub = b AND x.from_ < s2 + len AND s2 < x.to_ GROUP BY a, b, s1, s2, len) USING (a, b, s1, s2, len)""")
 def match_positions(spark, sf):
     out = report.line_ranges(V.tiles(spark, sf), V.statements(spark, sf))
-    return out.select("a", "b", *(big(c).alias(c) for c in ("s1", "s2", "len")), F.col("first_line").alias("line1"), F.col("last_line").alias("end1"))
+    return out.select("a", "b", *(big(c).alias(c) for c in ("s1", "s2", "len")), "line1", "end1", "line2", "end2")
+
+
+@query(V.TILES, "SELECT sub, other, max(len) AS longest, count(*) AS n_matches, row_number() OVER (PARTITION BY other ORDER BY sub) AS by_name, row_number() OVER (PARTITION BY other ORDER BY max(len) DESC, sub) AS by_longest, row_number() OVER (PARTITION BY other ORDER BY count(*) DESC, sub) AS by_count FROM (SELECT a AS sub, b AS other, len FROM tiles UNION ALL SELECT b, a, len FROM tiles) GROUP BY sub, other")
+def files_in_orders(spark, sf):
+    t = V.tiles(spark, sf)
+    sides = t.select(F.col("a").alias("sub"), F.col("b").alias("other"), "len").unionByName(t.select(F.col("b").alias("sub"), F.col("a").alias("other"), "len"))
+    return results.file_orders(sides.groupBy("sub", "other").agg(big(F.max("len")).alias("longest"), F.count("*").alias("n_matches")))
+
+
+@query(V.WORDS, "SELECT source, CAST(sum(len(w)) AS BIGINT) AS n_tokens FROM words JOIN documents ON doc_id = sub GROUP BY source")
+def token_totals(spark, sf):
+    """Tokens of each root, file ends aside."""
+    source = table(spark, sf, "documents", F.col("doc_id").alias("sub"), "source")
+    return V.words(spark, sf).join(source, "sub").groupBy("source").agg(big(F.sum(F.size("words"))).alias("n_tokens"))
 
 
 @query(LINES, "SELECT a AS sub, x.line, count(*) AS n_matches FROM tiles JOIN ln x ON x.sub = a AND x.from_ < s1 + len AND s1 < x.to_ GROUP BY a, x.line")
 def matches_per_line(spark, sf):
     out = report.line_ranges(V.tiles(spark, sf), V.statements(spark, sf))
     lines = V.statements(spark, sf).select(F.col("sub").alias("a"), "line")
-    each = out.select("a", F.explode(F.sequence("first_line", "last_line")).alias("line"))
+    each = out.select("a", F.explode(F.sequence("line1", "end1")).alias("line"))
     return each.join(lines, ["a", "line"]).groupBy(F.col("a").alias("sub"), "line").agg(F.count("*").alias("n_matches"))
 
 
