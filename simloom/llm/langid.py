@@ -344,4 +344,5 @@ def identify(text: Column, samples: dict[str, str]) -> Column:
                 at = end
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=["lang", "score"])
 
-    return predicted(text.cast("string"))
+    # Not to be moved by the optimiser, which would parse once for a filter on the language and again for its column.
+    return predicted.asNondeterministic()(text.cast("string"))

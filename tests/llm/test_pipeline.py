@@ -5,7 +5,7 @@ import test_secrets
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from simloom.llm import secrets, store
+from simloom.llm import langid, registry, secrets, store
 
 PLANTED = [
     (900001, None, "en", "s", 0),
@@ -26,7 +26,12 @@ def test_stages_against_brute_force(spark, sf_dir):
     out = store.save(corpus_pipeline.language(spark, docs, sf_dir), "a")
     assert out.columns == list(corpus_pipeline.COLUMNS)
     rows = out.collect()
-    assert sorted(map(repr, rows)) == sorted(repr(r) for r in was if r.text and any(c.isalpha() for c in r.text))
+    parser = langid.CrossParser(registry.learnt(docs))
+    named = lambda r: r.lang or parser.predict([r.text])[0][0]
+    assert sorted(map(repr, rows)) == sorted(repr(type(r)(**(r.asDict() | {"lang": named(r)}))) for r in was if r.text and any(c.isalpha() for c in r.text))
+    assert all(r.lang for r in rows) and not all(r.lang for r in was)
+    plan = corpus_pipeline.language(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
 
     was, docs = rows, out
     out = store.save(corpus_pipeline.exact(spark, docs, sf_dir), "b")
