@@ -119,13 +119,13 @@ def token_kgrams(spark, sf):
     return tokens.grams(V.valid(spark, sf), K).groupBy("sub").agg(F.count("*").alias("n_grams"), F.countDistinct("gram").alias("n_distinct"))
 
 
-@query(None, r"SELECT sub, string_agg(tok || ':' || n, ',' ORDER BY n DESC, encode(tok)) FILTER (k <= 5) AS top FROM (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY n DESC, encode(tok)) AS k FROM (SELECT sub, tok, count(*) AS n FROM (SELECT doc_id AS sub, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY sub, tok)) GROUP BY sub")
+@query(None, r"SELECT sub, string_agg(tok || ':' || n, ',' ORDER BY n DESC, encode(tok)) AS histogram FROM (SELECT sub, tok, count(*) AS n FROM (SELECT doc_id AS sub, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY sub, tok) GROUP BY sub")
 def token_histogram_map(spark, sf):
     counts = tokens.long_form(V.words(spark, sf)).groupBy("sub", "tok").agg(F.count("*").alias("n"))
     lists = counts.groupBy("sub").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "tok"))).alias("all"))
-    # The map is the histogram; its five most frequent entries are what is shown.
-    whole = lists.select("sub", "all", F.map_from_entries(F.transform("all", lambda x: F.struct(x["tok"], -x["k"]))).alias("m"))
-    return whole.select("sub", F.array_join(F.transform(F.slice("all", 1, 5), lambda x: F.concat_ws(":", x["tok"], F.element_at("m", x["tok"]).cast("string"))), ",").alias("top"))
+    # The map is the histogram; its entries are shown by falling counts.
+    whole = lists.select("sub", F.map_from_entries(F.transform("all", lambda x: F.struct(x["tok"], -x["k"]))).alias("m"))
+    return whole.select("sub", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("histogram"))
 
 
 BASE = rf"""{V.SIZES}, base AS (SELECT DISTINCT array_to_string(w[p + 1:p + 5], ' ') AS gram FROM (SELECT w, unnest(range(0, len(w) - 4)) AS p FROM (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark))),
@@ -487,7 +487,9 @@ def clusters_spectral(spark, sf):
 # --- normalisation -------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"stm AS ({STATEMENTS}), acc AS (SELECT sub, line, first, lag(first) OVER (PARTITION BY sub ORDER BY line) AS before FROM stm)", """SELECT sub, line, later, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (
+SELECT x.sub, x.line, y.line AS later, 'VARIABLE_FLOW' AS kind FROM acc x JOIN acc y ON x.sub = y.sub AND x.first = y.before AND x.line < y.line
+UNION ALL SELECT x.sub, x.line, y.line, 'VARIABLE_ORDER' FROM acc x JOIN acc y ON x.sub = y.sub AND (x.first = y.first OR x.before = y.first) AND x.line < y.line) GROUP BY sub, line, later""")
 def dependency_edges(spark, sf):
     return normalization.edges(normalization.from_statements(V.statements(spark, sf)))
 

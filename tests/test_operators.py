@@ -138,6 +138,65 @@ def test_normalization_removes_dead_and_reorders():
     assert 2 in normalization.emitted(loop)
 
 
+def edges_by_definition(rows):
+    """Kinds of each pair of statements, each pair judged by itself."""
+    depth = [sum(r.depth for r in rows[: k + 1]) for k in range(len(rows))]
+    out = {}
+    for k, y in enumerate(rows):
+        for j, x in enumerate(rows[:k]):
+            between = [r.position for r in rows[j + 1 : k]]
+            one_loop = all(d > 0 for d in depth[j : k + 1])
+            kinds = set()
+            if x.writes & y.reads:
+                kinds.add(normalization.FLOW)
+            if x.writes & y.writes or (x.reads & y.writes and not one_loop):
+                kinds.add(normalization.ORDER)
+            if x.reads & y.writes and one_loop:
+                kinds.add(normalization.REVERSE)
+            if 2 in (x.position, y.position) and 2 not in between:
+                kinds.add(normalization.FULL)
+            if x.position == y.position == 1 and 1 not in between:
+                kinds.add(normalization.PARTIAL)
+            if kinds:
+                out[j, k] = kinds
+    return out
+
+
+def order_by_definition(rows):
+    """Living statements by the longest path to them, found by sweeps over all edges until nothing changes."""
+    edges, layer, alive = edges_by_definition(rows), [0] * len(rows), {k for k, r in enumerate(rows) if r.critical}
+    while True:
+        was = (list(layer), set(alive))
+        for (j, k), kinds in edges.items():
+            layer[k] = max(layer[k], layer[j] + 1)
+            if normalization.FLOW in kinds and k in alive:
+                alive.add(j)
+            if normalization.REVERSE in kinds and j in alive:
+                alive.add(k)
+        if was == (layer, alive):
+            return sorted(alive, key=lambda k: (layer[k], -rows[k].n_tokens, rows[k].kind, k))
+
+
+def test_normalization_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    some = lambda: frozenset(x for x in "abc" if rng.random() < 0.3)
+    subs = []
+    for n in [0, 1, 2] + [rng.randrange(3, 14) for _ in range(60)]:
+        subs.append([normalization.Statement(k + 1, rng.randrange(1, 4), rng.choice("VP"), rng.random() < 0.25, rng.choice([0, 0, 0, 1, 2]), rng.choice([0, 0, 1, -1]), some(), some()) for k in range(n)])
+    for rows in subs:
+        assert normalization.emitted(rows) == order_by_definition(rows)
+    df = spark.createDataFrame([(i, *r[:6], sorted(r.reads), sorted(r.writes)) for i, rows in enumerate(subs) for r in rows], normalization.STATEMENTS)
+    want = {(i, rows[j].line, rows[k].line, ",".join(sorted(kinds))) for i, rows in enumerate(subs) for (j, k), kinds in edges_by_definition(rows).items()}
+    got = normalization.edges(df).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    places = {(i, p, rows[k].line) for i, rows in enumerate(subs) for p, k in enumerate(order_by_definition(rows))}
+    assert {(r["sub"], r["place"], r["line"]) for r in normalization.normalized(df).collect()} == places
+    assert normalization.edges(df.limit(0)).count() == normalization.normalized(df.limit(0)).count() == 0
+
+
+
 def test_report_round_trip(spark, tmp_path):
     o = Options(shown=1)
     c = spark.createDataFrame([(1, 2, 0.5, 0.6, 9, 30), (1, 3, 0.4, 0.6, 9, 30)], "a long, b long, avg_sim double, max_sim double, longest long, max_len long")
