@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a run's shuffle files go when it ends, not only when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -24,10 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, so that its lineage ends there."""
+    """Write ``df`` as Parquet into the shared folder and read it back, so that its lineage ends there.
+
+    Its shuffle files are deleted once it is written, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/simloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
