@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions import numbers as N
+from simloom.sources import stored
 
 #: Nodes of the largest matrix that the driver takes: 4,000 squared doubles are 128 MB.
 MOST_NODES = 4000
@@ -250,19 +251,20 @@ def single_linkage(edges: DataFrame, threshold: float) -> DataFrame:
     """``(node, component)`` over edges of ``threshold`` or more: labels spread until they no longer change.
 
     Each round takes the least label of a node's neighbours and then its label's label, so long paths need few
-    rounds. Rounds are cut by checkpoints in the folder that ``spark.checkpoint.dir`` names.
+    rounds. Each round's labels are written to the shared folder, those of the round before deleted.
     """
-    spark = edges.sparkSession
     links = edges.where(F.col("w") >= threshold).select("i", "j")
-    checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    cut = lambda df: df.checkpoint() if checkpoints else df.persist()
-    both = cut(links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    both = stored.saved(links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "links")
     labels = both.groupBy(F.col("i").alias("node")).agg(F.least(F.min("j"), F.first("i")).alias("label"))
-    was = None
+    was = old = None
     while True:
-        labels = cut(labels)
+        labels = stored.saved(labels, "labels")
+        if old is not None:
+            stored.dropped(old)
+        old = labels
         state = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
         if state == was:
+            stored.dropped(both)
             return labels.select("node", F.col("label").alias("component"))
         was = state
         near = both.join(labels.withColumnsRenamed({"node": "j", "label": "near"}), "j").groupBy(F.col("i").alias("node")).agg(F.min("near").alias("near"))

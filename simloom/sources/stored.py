@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a run's shuffle files go when it ends, not only when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a local master gets a temporary one, any other an error."""
@@ -20,10 +23,15 @@ def folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder; its lineage ends there."""
+    """``df`` as Parquet in the shared folder; its lineage ends there, and its shuffle files go."""
     spark = df.sparkSession
     path = f"{folder(spark)}/simloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
