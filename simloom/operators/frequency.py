@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.operators import matching, tokens
+from simloom.sources import stored
 
 
 def _distinct(matches: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def submatches(matches: DataFrame, least: int) -> DataFrame:
     equal parts as it has parts. So counts are sums over runs, and the parts, which grow with the square of a
     match's length, are never listed. A sequence shorter than ``least`` has itself as its one part.
     """
-    seqs = _distinct(matches)
+    seqs = stored.saved(_distinct(matches), "sequences")
     parts = lambda r: (r - least + 1) * (r - least + 2) / 2
     runs = matching.maximal_runs(seqs, least, within=True)
     pairs = runs.select(F.col("a").alias("sub"), F.col("b").alias("other"), "len").unionByName(runs.select(F.col("b").alias("sub"), F.col("a").alias("other"), "len"))

@@ -75,9 +75,8 @@ def run(files: DataFrame, options: Options = Options()) -> Result:
     covered = marking.groupBy("sub").agg(F.sum(F.col("e") - F.col("s")).alias("covered"))
     sizes = usable.join(covered, "sub", "left").select("sub", (F.size("words") - F.col("n_files") - F.coalesce("covered", F.lit(0))).cast("long").alias("divisor"), F.size("words").cast("long").alias("n_tokens"))
 
-    seq = tokens.masked(usable.select("sub", "words"), marking)
-    runs = matching.maximal_runs(seq, least, left=usable.where("is_new").select("sub"))
-    tiles = stored.saved(matching.tiles(runs, least, sizes), "tiles")
+    seq = stored.saved(tokens.masked(usable.select("sub", "words"), marking), "masked")
+    tiles = matching.maximal_runs(seq, least, left=usable.where("is_new").select("sub"), make=lambda runs: matching.tiles(runs, least, sizes), what="tiles")
     if options.merging.enabled:
         ends = tokens.long_form(seq).where(F.startswith("tok", F.lit("\0end"))).select("sub", "pos")
         matches = matching.merged(tiles, options.min_match, options.merging.gap, options.merging.required, ends).drop("merges")

@@ -59,6 +59,32 @@ def test_runs_new_and_within(spark):
 MATCHES = [(5, 3, 6), (11, 12, 6), (0, 0, 3), (3, 18, 2), (17, 20, 2)]
 
 
+def test_runs_in_rounds_of_windows_that_end_runs(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [[rng.choice("ab") for _ in range(rng.randrange(2, 30))] for _ in range(12)]
+    texts += [texts[0], texts[1], list("abab" * 8), list("xabab" * 5)]
+    df = seqs(spark, *texts)
+
+    def brute(within):
+        for a, x in enumerate(texts):
+            for b, y in enumerate(texts):
+                for i in range(len(x)):
+                    for j in range(len(y)):
+                        if (a < b or (within and a == b and i < j)) and (not i or not j or x[i - 1] != y[j - 1]):
+                            n = next((n for n in range(len(x)) if i + n >= len(x) or j + n >= len(y) or x[i + n] != y[j + n]), len(x))
+                            if n >= 3:
+                                yield a, b, i, j, n
+
+    monkeypatch.setattr(matching, "WINDOWS", 60)
+    monkeypatch.setattr(matching, "EDGES", 900)
+    assert matching.edge_windows(df, 3)[1] > 1
+    for within in (False, True):
+        assert sorted(tuple(r) for r in matching.maximal_runs(df, 3, within=within).collect()) == sorted(brute(within))
+    # Of two copies only the ends are paired, and of words of one text none.
+    windows, _ = matching.edge_windows(seqs(spark, map(str, range(300)), map(str, range(300)), map(str, range(500, 900))), 3)
+    assert sorted((r["sub"], r["pos"]) for r in windows.collect()) == [(0, 0), (0, 297), (1, 0), (1, 297)]
+
+
 def test_merging_golden(spark):
     df = spark.createDataFrame([(1, 2, *m) for m in MATCHES], "a long, b long, s1 int, s2 int, len int")
     got = matching.merged(df, 9, 10, 0).collect()
