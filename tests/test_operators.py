@@ -278,3 +278,30 @@ def test_anonymous_ids_need_no_order_of_all_pairs(spark):
     got = results.anonymous_ids(df)
     assert {r.sub: r.anon for r in got.collect()} == {2: 0, 3: 1, 1: 2, 5: 3, 4: 4, 6: 5}
     assert got._jdf.queryExecution().toString().count("row_number") and "posexplode" not in got._jdf.queryExecution().toString()
+
+
+def test_files_are_ranked_where_their_pairs_are_made(spark, monkeypatch):
+    """Places of either side among those of the other are those of a plain sort, however blocks, chunks and edges are cut; no pair is shuffled."""
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 24))) for _ in range(18)] + ["a" * 20, "b" + "a" * 13]
+    df = seqs(spark, *rows)
+    about = df.select("sub", (F.size("words") + 1).cast("long").alias("n_tokens"), F.size("words").cast("long").alias("divisor"))
+    files = {}
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            small, large = (a, b) if (len(rows[a]), a) <= (len(rows[b]), b) else (b, a)
+            if n := [t[2] for t in scan_tiles(rows[small], rows[large], 3)]:
+                files[a, b] = files[b, a] = (max(n), len(n), sum(n))
+    want = set()
+    for (sub, other), (longest, n, matched) in files.items():
+        rest = [(s, f) for (s, o), f in files.items() if o == other]
+        place = lambda key: 1 + [s for s, _ in sorted(rest, key=lambda x: (key(*x), x[0]))].index(sub)  # noqa: B023, E731
+        want.add((sub, other, longest, n, matched, len(rows[sub]), place(lambda s, f: 0), place(lambda s, f: -f[0]), place(lambda s, f: -f[1]), place(lambda s, f: -f[2] / len(rows[s]))))
+    for edges, pairs, groups, strips in ((400_000, 1_000_000, 63, 12), (20, 5, 63, 3), (20, 1, 2, 5)):
+        for name, value in (("EDGES", edges), ("PAIRS", pairs), ("GROUPS", groups), ("STRIPS", strips)):
+            monkeypatch.setattr(pairing, name, value)
+        windows, _ = matching.edge_windows(df, 3)
+        got = pairing.filed(windows, 10, 3, about, ("name", "longest", "count", "coverage"))
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(want) and set(found) == want
+    assert "hashpartitioning(other" not in got._jdf.queryExecution().toString()
