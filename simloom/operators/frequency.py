@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.operators import matching, tokens
+from simloom.operators import pairing, tokens
 from simloom.sources import stored
 
 
 def _distinct(matches: DataFrame) -> DataFrame:
-    """``(sub, words, n)``: each distinct sequence under a number, and how many matches have it."""
-    return matches.groupBy(F.col("seq").alias("words")).agg(F.count("*").alias("n")).select(F.xxhash64("words").alias("sub"), "words", "n")
+    """``(sub, words, n)``: each distinct sequence under a number, and how many matches have it; saved."""
+    seqs = matches.groupBy(F.col("seq").alias("words")).agg(F.count("*").alias("n")).select(F.xxhash64("words").alias("sub"), "words", "n")
+    return stored.saved(seqs, "sequences")
 
 
 def _weights(seqs: DataFrame, by_sub: DataFrame) -> DataFrame:
@@ -29,45 +30,54 @@ def complete(matches: DataFrame, least: int) -> DataFrame:
 
 
 def contained(matches: DataFrame, least: int) -> DataFrame:
-    """Mean count of whole matches of ``least`` tokens or more over those parts of a sequence that are one.
-
-    A whole match inside another starts with a window that both have, so parts are never listed.
-    """
+    """Mean count of whole matches of ``least`` tokens or more over those parts of a sequence that are one."""
     seqs = _distinct(matches)
-    grams = tokens.grams(seqs, least).select("sub", "pos", "gram")
-    heads = grams.where("pos = 0").select("gram", F.col("sub").alias("whole"))
-    near = grams.join(heads, "gram").select("sub", "pos", "whole")
-    inner = seqs.select(F.col("sub").alias("whole"), F.col("words").alias("part"), "n")
-    both = near.join(inner, "whole").join(seqs.select("sub", "words"), "sub")
-    hits = both.where(F.slice("words", F.col("pos") + 1, F.size("part")) == F.col("part"))
-    return _weights(seqs, hits.groupBy("sub").agg(F.avg("n").alias("weight")))
+    return _weights(seqs, contained_of(seqs, least))
 
 
 def submatches(matches: DataFrame, least: int) -> DataFrame:
-    """Mean count, over all matches, of all parts of a sequence of ``least`` tokens or more.
-
-    Equal parts of two sequences lie in their maximal common runs, and a run of r tokens holds as many pairs of
-    equal parts as it has parts. So counts are sums over runs, and the parts, which grow with the square of a
-    match's length, are never listed. A sequence shorter than ``least`` has itself as its one part.
-    """
-    seqs = stored.saved(_distinct(matches), "sequences")
-    parts = lambda r: (r - least + 1) * (r - least + 2) / 2
-    runs = matching.maximal_runs(seqs, least, within=True)
-    pairs = runs.select(F.col("a").alias("sub"), F.col("b").alias("other"), "len").unionByName(runs.select(F.col("b").alias("sub"), F.col("a").alias("other"), "len"))
-    whole = seqs.where(F.size("words") >= least).select("sub", F.col("sub").alias("other"), F.size("words").alias("len"))
-    counted = pairs.unionByName(whole).join(seqs.select(F.col("sub").alias("other"), "n"), "other")
-    sums = counted.groupBy("sub").agg(F.sum(parts(F.col("len")) * F.col("n")).alias("total"))
-    size = F.size("words")
-    by_sub = seqs.join(sums, "sub", "left").select("sub", F.when(size < least, F.col("n").cast("double")).otherwise(F.col("total") / parts(size)).alias("weight"))
-    return _weights(seqs, by_sub)
+    """Mean count, over all matches, of all parts of a sequence of ``least`` tokens or more."""
+    seqs = _distinct(matches)
+    return _weights(seqs, submatches_of(seqs, least))
 
 
 def windows(matches: DataFrame, size: int) -> DataFrame:
     """Mean count of the windows of a sequence; 0 for one that is shorter."""
     seqs = _distinct(matches)
+    return _weights(seqs, windows_of(seqs, size))
+
+
+def _shared(seqs: DataFrame, least: int) -> DataFrame:
+    """``seqs(sub, n, size)`` with what each shares with the others and in other places with itself (``pairing.paired`` of ``parts``).
+
+    Equal parts of two sequences lie in their maximal common runs, and a run of r tokens holds as many pairs of
+    equal parts as it has parts; one that is a whole sequence shows that as inside the other. So parts, which grow
+    with the square of a match's length, are never listed, and runs are counted where they are found.
+    """
+    words = seqs.select("sub", F.transform("words", lambda w: w.cast("string")).alias("words"))
+    kept = stored.saved_parts(pairing.windows(words, least, pairing.size(words, least), within=True), "inner")
+    about = seqs.select("sub", F.size("words").cast("long").alias("n_tokens"), "n")
+    sums = pairing.paired(kept, kept.count(), least, about, "parts", ("n",)).groupBy("sub").agg(*(F.sum(c).alias(c) for c in ("equal", "wholes", "n_wholes")))
+    return seqs.select("sub", "n", F.size("words").alias("size")).join(sums, "sub", "left").na.fill(0, ["equal", "wholes", "n_wholes"])
+
+
+def contained_of(seqs: DataFrame, least: int) -> DataFrame:
+    """``(sub, weight)`` of ``contained``, of saved distinct sequences ``(sub, words, n)``."""
+    mean = (F.col("wholes") + F.col("n")) / (F.col("n_wholes") + 1)
+    return _shared(seqs, least).select("sub", F.when(F.col("size") >= least, mean).otherwise(0.0).alias("weight"))
+
+
+def submatches_of(seqs: DataFrame, least: int) -> DataFrame:
+    """The same of ``submatches``. A sequence shorter than ``least`` has itself as its one part."""
+    parts = (F.col("size") - least + 1) * (F.col("size") - least + 2) / 2
+    return _shared(seqs, least).select("sub", F.when(F.col("size") < least, F.col("n").cast("double")).otherwise(F.col("equal") / parts + F.col("n")).alias("weight"))
+
+
+def windows_of(seqs: DataFrame, size: int) -> DataFrame:
+    """The same of ``windows``."""
     grams = tokens.grams(seqs, size).select("sub", "gram")
     counts = grams.join(seqs.select("sub", "n"), "sub").groupBy("gram").agg(F.sum("n").alias("n"))
-    return _weights(seqs, grams.join(counts, "gram").groupBy("sub").agg(F.avg("n").alias("weight")))
+    return grams.join(counts, "gram").groupBy("sub").agg(F.avg("n").alias("weight"))
 
 
 STRATEGIES: dict[str, Callable[[DataFrame, int], DataFrame]] = {"complete": complete, "contained": contained, "submatches": submatches, "windows": windows}
