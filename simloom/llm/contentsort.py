@@ -113,7 +113,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "size", "norm", F.sha2("norm", 256).alias("digest"), F.substring("norm", 1, PREFIX).alias("prefix"))
     rank = [F.col("size").desc(), F.col("doc_id").asc_nulls_last()]
     ranged = rows.repartitionByRange("prefix", "digest", *rank).sortWithinPartitions("prefix", "digest", "norm", *rank)
-    found = store.save(ranged.select("doc_id", "digest", "norm").mapInArrow(_neighbours, ROWS), "content-sort")
+    found = store.save(ranged.select("doc_id", "digest", "norm").mapInArrow(_neighbours, ROWS), "content-sort", small_batches=True)
 
     # Does the last run of a partition go on as the first of the next one that has rows?
     ends = found.where("edge is not null and first").select("part", "edge", "text_sha256", "edge_text", "keep_id", "n")
@@ -187,7 +187,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ranged = rows.repartitionByRange("prefix", "digest", *rank).withColumn("norm", normalised(F.col("row.text")))
     ranged = ranged.sortWithinPartitions("prefix", "digest", "norm", *rank, F.col("row.text").cast("string")).select("row", "digest", "norm")
     made = StructType([StructField("row", docs.schema), *StructType.fromDDL("part int, edge string, digest string, edge_text string")])
-    found = store.save(ranged.mapInArrow(_leaders, made), "content-sort")
+    found = store.save(ranged.mapInArrow(_leaders, made), "content-sort", small_batches=True)
 
     ends = found.where("edge is not null").select("part", "edge", "digest", "edge_text")
     parts = sorted({r["part"] for r in ends.select("part").distinct().collect()})

@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     that share an id count as one document where links are followed. Other columns are ignored; an empty table
     gives no rows.
     """
-    sk = store.save(sketched(docs, bands, rows), "sketches")
+    sk = store.save(sketched(docs, bands, rows), "sketches", small_batches=True)
     # A class's sketch depends on its set alone, so any row's will do.
     classes = sk.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     spread = classes.select("fp", "node", "n", F.explode("bands").alias("key"))
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
         ids = F.broadcast(ids)  # so that texts stay where they are; more ids than that take a shuffle of the texts
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = store.save(_sets(texts, bands * rows).join(involved, ["node", "fp"], "left_semi").dropDuplicates(["node"]).drop("fp"), "sets")
+    sets = store.save(_sets(texts, bands * rows).join(involved, ["node", "fp"], "left_semi").dropDuplicates(["node"]).drop("fp"), "sets", small_batches=True)
 
     close = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("node") != F.col("pivot"))
     pairs = members.where(close).select("pivot", "node").distinct()
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     part = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = pairs.join(spokes, "pivot").select(F.struct(F.col("pivot").alias("k"), part.alias("i"), F.lit(0).cast("long").alias("j")).alias("task"), F.lit(False).alias("first"), "node", F.col("node").alias("label"))
     one = spokes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i")).select(F.struct(F.col("pivot").alias("k"), "i", F.lit(0).cast("long").alias("j")).alias("task"), F.lit(True).alias("first"), F.col("pivot").alias("node"), F.col("pivot").alias("label"))
-    links = store.save(_verified(one.unionByName(other), sets, percent), "links")
+    links = store.save(_verified(one.unionByName(other), sets, percent), "links", small_batches=True)
 
     # Buckets that hold several components: what is outside the most frequent one meets all others.
     found = components(links)
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     few = mixed.where("label <> most").select("key", F.pmod(h, F.col("few_blocks")).alias("i"), upto("blocks").alias("j"), F.lit(True).alias("first"), "node", "label")
     every = mixed.select("key", upto("few_blocks").alias("i"), F.pmod(h, F.col("blocks")).alias("j"), F.lit(False).alias("first"), "node", "label")
     tasks = few.unionByName(every).select(F.struct(F.col("key").alias("k"), "i", "j").alias("task"), "first", "node", "label")
-    more = store.save(_verified(_plausible(tasks, sets, percent), sets, percent), "links")
+    more = store.save(_verified(_plausible(tasks, sets, percent), sets, percent), "links", small_batches=True)
 
     # Links of the second round join components of the first by their members.
     final = components(links.unionByName(more))

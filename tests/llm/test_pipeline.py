@@ -1,5 +1,6 @@
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import test_neardup
 import test_secrets
 from pyspark.sql import functions as F
@@ -77,3 +78,36 @@ def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    """What near and exact duplicates hand to Python is a few MB at once, however long the texts are; a lower limit is kept."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 1000) text", "'en' lang", "'s' source", "0L n_chars")
+    probe = docs.select("text").mapInArrow(sizes, "n long")
+    found = [r.n for r in store.save(probe, "probe", small_batches=True).collect()]
+    assert sum(found) > 20_000_000 and max(found) < 2 * store.BATCH_BYTES
+
+    was, save = spark.conf.get(store.BATCH), store.save
+    asked = []
+
+    def noted(df, what, small_batches=False):
+        if "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+            asked.append((what, small_batches))
+        return save(df, what, small_batches)
+
+    monkeypatch.setattr(store, "save", noted)
+    corpus_pipeline.exact(spark, docs.limit(20), "")
+    corpus_pipeline.near(spark, docs.limit(20), "")
+    assert {"content-sort", "sketches", "sets", "links"} == {what for what, _ in asked} and all(small for _, small in asked)
+    assert spark.conf.get(store.BATCH) == was
+    try:
+        spark.conf.set(store.BATCH, "1m")
+        found = [r.n for r in save(probe, "probe", small_batches=True).collect()]
+        assert max(found) < 2 << 20 and spark.conf.get(store.BATCH) == "1m"
+    finally:
+        spark.conf.set(store.BATCH, was)
