@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simloom.functions import numbers as N
 from simloom.operators import pairing, tokens
 from simloom.sources import stored
 
@@ -111,4 +112,4 @@ def weighted_similarity(matches: DataFrame, weights: DataFrame, sizes: DataFrame
     sums = rows.groupBy("a", "b").agg(F.sum(((F.col("l1") + F.col("l2")) * scale).cast("decimal(28,10)")).cast("double").alias("m"))
     left, right = (sizes.select(F.col("sub").alias(s), F.col("divisor").alias(f"d_{s}")) for s in ("a", "b"))
     d = F.col("d_a") + F.col("d_b")
-    return sums.join(left, "a").join(right, "b").select("a", "b", F.round(F.when(d > 0, F.col("m") / d).otherwise(0.0), 6).alias("weighted_sim"))
+    return sums.join(left, "a").join(right, "b").select("a", "b", N.rounded(F.when(d > 0, F.col("m") / d).otherwise(0.0)).alias("weighted_sim"))

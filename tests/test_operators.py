@@ -1,9 +1,12 @@
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from simloom.config import MergeOptions, Options
+from simloom.functions import numbers as N
 from simloom.functions import text as T
 from simloom.operators import frequency, matching, normalization, pairing, report, results, tokens
 
@@ -305,3 +308,16 @@ def test_files_are_ranked_where_their_pairs_are_made(spark, monkeypatch):
         found = [tuple(r) for r in got.collect()]
         assert len(found) == len(want) and set(found) == want
     assert "hashpartitioning(other" not in got._jdf.queryExecution().toString()
+
+
+def test_similarities_are_rounded_as_in_sql(spark):
+    """Shares that lie on a half of the last decimal: the nearest double may be below it, and SQL's round then goes down."""
+    rows = [(m, d) for d in (128, 640, 3200, 16000) for m in range(1, d + 1, 2)]
+    shares = spark.createDataFrame(rows, "m long, d long")
+    got = {(r.m, r.d): r.x for r in shares.select("m", "d", N.rounded(F.col("m") / F.col("d")).alias("x")).collect()}
+    con = duckdb.connect()
+    con.register("t", pa.table({"m": [m for m, _ in rows], "d": [d for _, d in rows]}))
+    assert got == {(m, d): x for m, d, x in con.execute("SELECT m, d, round(m / d, 6) FROM t").fetchall()}
+    sizes = spark.createDataFrame([(0, 328, 329), (1, 952, 953)], "sub long, divisor long, n_tokens long")
+    matches = spark.createDataFrame([(0, 1, 41, 41)], "a long, b long, l1 long, l2 long")
+    assert matching.metrics(matches, sizes).first().avg_sim == 0.064062
