@@ -55,7 +55,7 @@ def _shared(seqs: DataFrame, least: int) -> DataFrame:
     equal parts as it has parts; one that is a whole sequence shows that as inside the other. So parts, which grow
     with the square of a match's length, are never listed, and runs are counted where they are found.
     """
-    words = seqs.select("sub", F.transform("words", lambda w: w.cast("string")).alias("words"))
+    words = seqs.select("sub", "words")
     kept = stored.saved_parts(pairing.windows(words, least, pairing.size(words, least), within=True), "inner")
     about = seqs.select("sub", F.size("words").cast("long").alias("n_tokens"), "n")
     sums = pairing.paired(kept, kept.count(), least, about, "parts", ("n",)).groupBy("sub").agg(*(F.sum(c).alias(c) for c in ("equal", "wholes", "n_wholes")))

@@ -321,3 +321,38 @@ def test_similarities_are_rounded_as_in_sql(spark):
     sizes = spark.createDataFrame([(0, 328, 329), (1, 952, 953)], "sub long, divisor long, n_tokens long")
     matches = spark.createDataFrame([(0, 1, 41, 41)], "a long, b long, l1 long, l2 long")
     assert matching.metrics(matches, sizes).first().avg_sim == 0.064062
+
+
+def test_equals_are_looked_up_once(spark, monkeypatch):
+    """However few edges a task holds, its windows are looked up once for the pairs of two blocks, and tiles stay the same."""
+    rng = random.Random(5)
+    some = ["".join(rng.choice("ab") for _ in range(30)) for _ in range(16)]
+    batch = pa.RecordBatch.from_pydict({"sub": pa.array(range(16), pa.int64()), "group": pa.array([0] * 16, pa.int32()), "words": [list(w) for w in some]})
+    dealt = pa.Table.from_batches(list(pairing._windows(batch, 4, (0, 1), 1)))
+    kept = pa.Table.from_batches(list(pairing._kept(dealt["rows"].to_pylist(), False, 0)))
+    rows = {}
+    for r in kept.to_pylist():
+        rows.setdefault(r.pop("sub"), []).append(r)
+    table = pa.table({"sub": list(rows), "n_tokens": [31] * len(rows), "block": [k % 2 for k in rows], "windows": list(rows.values())})
+    calls = []
+    looked = pairing._unlike
+    monkeypatch.setattr(pairing, "_unlike", lambda *args: calls.append(1) or looked(*args))
+    found = []
+    for two in (True, False):
+        for most in (3, 2000, 100_000):
+            calls.clear()
+            found.append(sorted(tuple(r.values()) for b in pairing._block(table, two, 4, "tiles", [], most) for r in b.to_pylist()))
+            assert len(calls) == 2 or most == 3  # which one document alone exceeds
+    assert found[0] == found[1] == found[2] and found[3] == found[4] == found[5] and set(found[0]) < set(found[3])
+    one = {(a, b): [] for a in range(16) for b in range(a + 1, 16)}
+    for a, b, *tile in found[3]:
+        one[a, b].append(tuple(tile))
+    assert all(sorted(t) == scan_tiles(some[a], some[b], 4) for (a, b), t in one.items())
+
+
+def test_windows_of_numbers_equal_those_of_words(spark):
+    """Numbers in place of words give the same windows, whatever their hashes are."""
+    words = seqs(spark, "abcdefabc", "xabcdef", "zabcq")
+    numbers = words.select("sub", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    places = [sorted((r.sub, r.pos) for w in pairing.windows(seq, 3, 20) for r in w.collect()) for seq in (words, numbers)]
+    assert places[0] == places[1] != []
