@@ -6,6 +6,7 @@ Matches are ``(a, b, s1, s2, l1, l2, seq)`` with ``seq`` the first side's token
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +100,26 @@ WEIGHTINGS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def scaled(weighting: str, factor: float) -> Column:
+    """The factor of a match's length, of its ``weight`` and the greatest, ``most``."""
+    rarity = 1 - F.least(F.col("weight") / F.greatest("most", F.lit(1.0)), F.lit(1.0))
+    return F.when(F.col("weight") == 0, 1.0).otherwise((1 - factor) + factor * WEIGHTINGS[weighting](rarity))
+
+
+def spans_weighted(spans: DataFrame, weighting: str, factor: float) -> DataFrame:
+    """``(sub, worth)``: of ``spans(sub, s1, len, weight)`` the list ``(s1, len, m)`` of each submission, ``m`` both sides' length times the factor, in units of 1e-10."""
+    most = spans.agg(F.coalesce(F.max("weight"), F.lit(1.0)).alias("most"))
+    m = (2 * F.col("len") * scaled(weighting, factor)).cast("decimal(28,10)")
+    rows = spans.crossJoin(F.broadcast(most)).withColumn("m", (m * 10_000_000_000).cast("long"))  # one row
+    return rows.groupBy("sub").agg(F.collect_list(F.struct(F.col("s1").cast("int").alias("s1"), F.col("len").cast("int").alias("len"), "m")).alias("worth"))
+
+
+def similarity_of(pairs: DataFrame) -> DataFrame:
+    """``weighted_similarity`` of ``pairing.paired`` pairs whose tiles are ``weighted``."""
+    m, d = (F.col("m").cast("decimal(28,0)") * F.lit(Decimal("0.0000000001"))).cast("double"), F.col("divisor_a") + F.col("divisor_b")
+    return pairs.select("a", "b", N.rounded(F.when(d > 0, m / d).otherwise(0.0)).alias("weighted_sim"))
+
+
 def weighted_similarity(matches: DataFrame, weights: DataFrame, sizes: DataFrame, weighting: str, factor: float) -> DataFrame:
     """``(a, b, weighted_sim)``: the average similarity with each match's length times its factor.
 
@@ -107,8 +128,7 @@ def weighted_similarity(matches: DataFrame, weights: DataFrame, sizes: DataFrame
     """
     most = weights.agg(F.coalesce(F.max("weight"), F.lit(1.0)).alias("most"))
     rows = matches.join(weights, "seq", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).crossJoin(F.broadcast(most))  # one row
-    rarity = 1 - F.least(F.col("weight") / F.greatest("most", F.lit(1.0)), F.lit(1.0))
-    scale = F.when(F.col("weight") == 0, 1.0).otherwise((1 - factor) + factor * WEIGHTINGS[weighting](rarity))
+    scale = scaled(weighting, factor)
     sums = rows.groupBy("a", "b").agg(F.sum(((F.col("l1") + F.col("l2")) * scale).cast("decimal(28,10)")).cast("double").alias("m"))
     left, right = (sizes.select(F.col("sub").alias(s), F.col("divisor").alias(f"d_{s}")) for s in ("a", "b"))
     d = F.col("d_a") + F.col("d_b")
