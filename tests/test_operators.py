@@ -9,6 +9,7 @@ from simloom.config import MergeOptions, Options
 from simloom.functions import numbers as N
 from simloom.functions import text as T
 from simloom.operators import frequency, matching, normalization, pairing, report, results, tokens
+from simloom.sources import stored
 
 
 def seqs(spark, *rows):
@@ -350,6 +351,26 @@ def test_equals_are_looked_up_once(spark, monkeypatch):
     assert all(sorted(t) == scan_tiles(some[a], some[b], 4) for (a, b), t in one.items())
 
 
+def test_all_runs_of_blocks(spark, monkeypatch):
+    """All runs of all pairs of two documents, overlapping ones too, none that a document repeats, however few edges a task holds."""
+    rng = random.Random(6)
+    some = ["".join(rng.choice("ab") for _ in range(24)) for _ in range(9)] + ["abab" * 5] * 2
+    df = seqs(spark, *some)
+    at = lambda x, i: x[i] if 0 <= i < len(x) else None
+
+    def length(x, y, i, j):
+        if at(x, i - 1) is not None and at(x, i - 1) == at(y, j - 1):
+            return 0
+        return next(n for n in range(len(x) + 1) if at(x, i + n) is None or at(x, i + n) != at(y, j + n))
+
+    wanted = [(a, b, i, j, n) for a, x in enumerate(some) for b, y in enumerate(some) if a < b for i in range(len(x)) for j in range(len(y)) if (n := length(x, y, i, j)) >= 4]
+    for most in (3, 100_000):
+        monkeypatch.setattr(pairing, "EDGES", most)
+        w = stored.saved_parts(pairing.windows(df, 4, 200), "windows")
+        found = pairing.paired(w, w.count(), 4, None, "runs")
+        assert sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+
+
 def test_windows_of_numbers_equal_those_of_words(spark):
     """Numbers in place of words give the same windows, whatever their hashes are."""
     words = seqs(spark, "abcdefabc", "xabcdef", "zabcq")
